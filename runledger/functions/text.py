@@ -4,28 +4,37 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .fixed import COMMENT_MARK, EXCERPT_CHARS, NOISE_LINE_PATTERNS
 
 # Every separator a universal line splitter knows, the two-character one first.
-LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-
-
-def split_lines(text: Column) -> Column:
-    """Array of the lines of ``text``; a trailing separator adds no empty line."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
-
-
-def tail(items: Column, n: int) -> Column:
-    """The last ``n`` elements of an array as ``(pos, line)`` structs, positions from 1."""
-    first = F.greatest(F.size(items) - n, F.lit(0)) + 1
-    return F.transform(
-        F.slice(items, first, F.lit(n)),
-        lambda line, i: F.struct((first + i).cast("bigint").alias("line_no"), line.alias("line")),
+ANY_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+NEWLINE = "\n"
+
+
+def split_lines(
+    texts: DataFrame, text: str, line_break: str = ANY_BREAK, last: int | None = None
+) -> DataFrame:
+    """One row ``(line_no, line)`` per line of a text column, numbered from 1, others kept.
+
+    A trailing break adds no empty line. With ``last`` only that many from the
+    end. The text is split in a projection of its own and the generator takes an
+    expression over it: given a bare column, Catalyst would infer a non-empty
+    filter and split every text again to evaluate it.
+    """
+    kept = [c for c in texts.columns if c != text]
+    split = texts.select(*kept, F.split(text, line_break).alias("__split"))
+    n_lines = F.size("__split") - (F.element_at("__split", -1) == "").cast("int")
+    skipped = F.greatest(n_lines - last, F.lit(0)) if last is not None else F.lit(0)
+    counted = split.select(
+        *kept, "__split", n_lines.alias("__n"), skipped.alias("__skipped")
+    )
+    lines = F.slice("__split", F.col("__skipped") + 1, F.col("__n") - F.col("__skipped"))
+    return counted.select(
+        *kept, "__skipped", F.posexplode(lines).alias("__pos", "line")
+    ).select(
+        *kept, (F.col("__skipped") + F.col("__pos") + 1).cast("bigint").alias("line_no"), "line"
     )
 
 

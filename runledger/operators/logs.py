@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import LISTED_IMPORT_ERRORS, LOG_TAIL_LINES, NO_LOG_FILE
 from ..functions.ranking import top_per_group
-from ..functions.text import is_noise, tail
+from ..functions.text import NEWLINE, is_noise, split_lines
 from .runs import failed_tasks
 
 TASK_KEYS = ("dag_id", "run_id", "task_id")
@@ -38,12 +38,9 @@ def log_tail(
     return top_per_group(lines, file_keys, [F.col(c).desc() for c in order], n)
 
 
-def text_tail(files: DataFrame, lines: Column, n: int = LOG_TAIL_LINES) -> DataFrame:
-    """As ``log_tail`` for a table with one row per file: cut in place, no shuffle.
-
-    ``lines`` is the array of a file's lines; the columns of ``files`` are kept.
-    """
-    return files.select("*", F.inline(tail(lines, n)))
+def text_tail(files: DataFrame, n: int = LOG_TAIL_LINES, text: str = "text") -> DataFrame:
+    """As ``log_tail`` for a table with one row per file: cut in place, no shuffle."""
+    return split_lines(files, text, NEWLINE, last=n)
 
 
 def failure_report(
@@ -53,15 +50,12 @@ def failure_report(
     file_key: str = "attempt_id",
     written_at: str = "attempt_ts",
     tie: str = "attempt_id",
-    attempts_are_files: bool = False,
 ) -> DataFrame:
     """What every failed task said last, or that it left no log.
 
     ``tails`` is the output of ``log_tail`` or ``text_tail``: at most n lines per
     file, so neither join sees a hot key. The failed tasks and their newest
-    attempts share one partitioning. With ``attempts_are_files`` each attempt
-    stands for a file that exists, and an empty one gives a NULL line instead of
-    the no-log message.
+    attempts share one partitioning.
     """
     located = failed_tasks(ti).join(
         newest_attempt(attempts, written_at=written_at, tie=tie).select(*TASK_KEYS, file_key),
@@ -69,14 +63,11 @@ def failure_report(
         "left",
     )
     said = tails.select(file_key, "line_no", "line", F.lit(True).alias("has_line"))
-    no_file = F.col("has_line").isNull()
-    if attempts_are_files:
-        no_file = no_file & F.col(file_key).isNull()
     return located.join(said, file_key, "left").select(
         *TASK_KEYS,
         file_key,
         "line_no",
-        F.when(no_file, NO_LOG_FILE).otherwise(F.col("line")).alias("line"),
+        F.when(F.col("has_line").isNull(), NO_LOG_FILE).otherwise(F.col("line")).alias("line"),
     )
 
 

@@ -48,9 +48,7 @@ class ScanRule:
 
 def text_lines(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One row per line, numbered from 1, in the same task that read the text."""
-    return docs.select(
-        F.col(path).alias("path"), F.posexplode(split_lines(F.col(text))).alias("pos", "line")
-    ).select("path", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+    return split_lines(docs.select(F.col(path).alias("path"), F.col(text).alias("text")), "text")
 
 
 def term_scan(docs: DataFrame, rule: ScanRule, path: str = "path", text: str = "text") -> DataFrame:

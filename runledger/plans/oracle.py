@@ -247,7 +247,7 @@ SELECT dag_id, line_no, line FROM kept WHERE rn < 6""",
         [f"SELECT '{t}' AS entity, count(*) AS n FROM {t}" for t in TABLES]
         + [
             f"SELECT 'events/{f}', count(*) FROM events WHERE event_type = '{f}'"
-            for f in ("view", "click", "signup", "purchase", "error", "refund")
+            for f in ("purchase", "refund")
         ]
     )
     + ") SELECT 'non_empty' AS gate, entity, 'no rows' AS detail FROM counted WHERE n = 0",

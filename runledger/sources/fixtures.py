@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import NEWLINE, split_lines
 from ..operators.logs import TASK_KEYS, newest_attempt
 from ..operators.medallion import silver_dedup
 from .tables import read_table
@@ -96,11 +97,7 @@ def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents; also the log of the attempt with the document's id."""
-    return (
-        doc_text(spark, sf_dir)
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
-    )
+    return split_lines(doc_text(spark, sf_dir), "text", NEWLINE)
 
 
 def doc_path(spark: SparkSession, sf_dir: str) -> DataFrame:

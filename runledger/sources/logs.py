@@ -16,7 +16,10 @@ def _attempt(path: Column) -> Column:
 
 
 def list_attempts(spark: SparkSession, base: str) -> DataFrame:
-    """One row per log file from the file listing alone; no content is read."""
+    """One row per log file from the file listing alone; no content is read.
+
+    Spark's listing leaves files of length zero out, so an empty log counts as none.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.log")
@@ -29,24 +32,28 @@ def list_attempts(spark: SparkSession, base: str) -> DataFrame:
         "dag_id",
         "run_id",
         "task_id",
-        F.col("path"),
-        _attempt(F.col("path")).alias("attempt"),
-        F.col("modificationTime").alias("written_at"),
-        "length",
+        F.col("_metadata.file_path").alias("path"),
+        _attempt(F.col("_metadata.file_path")).alias("attempt"),
+        F.col("_metadata.file_modification_time").alias("written_at"),
+        F.col("_metadata.file_size").alias("length"),
     )
 
 
-def read_log_lines(spark: SparkSession, base: str) -> DataFrame:
+def read_log_lines(spark: SparkSession, base: str, where: Column | None = None) -> DataFrame:
     """Lines of every log with their order, for files of any size.
 
     A big file is read in several splits. The split's offset and the row's place
-    inside its task give the order within the file; no file is held whole.
+    inside its task give the order within the file; no file is held whole. The
+    place is not deterministic for Catalyst, which moves no filter below it, so a
+    filter that should prune folders is given as ``where``.
     """
     raw = (
         spark.read.schema("value string, " + PARTITIONS)
         .option("pathGlobFilter", "*.log")
         .text(base)
     )
+    if where is not None:
+        raw = raw.where(where)
     return raw.select(
         "dag_id",
         "run_id",

@@ -1,0 +1,181 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from runledger.operators import runs
+from runledger.plans.verify import verify_dags
+from runledger.sources.tables import write_version
+
+TI = "dag_id string, run_id string, task_id string, state string"
+RUNS = "dag_id string, run_id string, state string, start_date timestamp_ntz, waited_s bigint"
+DAGS = "dag_id string, is_paused boolean, has_import_error boolean, scanned boolean"
+
+
+def day(n):
+    return datetime.datetime(2024, 1, n)
+
+
+@pytest.fixture
+def ti(spark):
+    return spark.createDataFrame(
+        [
+            ("a", "r1", "load", "success"),
+            ("a", "r1", "clean", "failed"),
+            ("a", "r1", "audit", "failed"),
+            ("a", "r1", "publish", None),
+            ("a", "r1", "check", "upstream_failed"),
+            ("a", "r2", "load", "running"),
+            ("b", "r1", "load", "deferred"),
+        ],
+        TI,
+    )
+
+
+@pytest.fixture
+def history(spark):
+    return spark.createDataFrame(
+        [
+            ("a", "a1", "success", day(1), 10),
+            ("a", "a2", "running", day(2), 10),
+            ("b", "b4", "queued", day(4), 10),
+            ("b", "b3", "running", day(4), 10),
+            ("b", "b2", "queued", day(3), 10),
+            ("b", "b1", "running", None, 10),
+            ("c", "c1", "failed", day(1), 9999),
+            ("d", "d1", None, day(1), 9999),
+        ],
+        RUNS,
+    )
+
+
+def test_a_run_is_found_by_its_own_id_only(spark, history, rows):
+    wanted = spark.createDataFrame(
+        [("a", "a1"), ("a", "a2"), ("b", "a1"), ("d", "d1")], "dag_id string, run_id string"
+    )
+    assert rows(runs.run_state(history, wanted)) == [
+        ("a", "a1", "success"),
+        ("a", "a2", "running"),
+        ("b", "a1", "unqueued"),
+        ("d", "d1", "unqueued"),
+    ]
+
+
+def test_in_flight_counts_all_and_lists_three(history, rows):
+    got = [r[:4] for r in rows(runs.in_flight_runs(history))]
+    # A run without a start date comes last; equal dates fall back to the run id.
+    assert got == [("a", 1, 1, "a2"), ("b", 4, 1, "b2"), ("b", 4, 2, "b3"), ("b", 4, 3, "b4")]
+
+
+def test_decision_takes_the_first_rule_that_applies(spark, history, rows):
+    dags = spark.createDataFrame(
+        [
+            ("a", False, False, True),
+            ("b", False, False, True),
+            ("c", False, True, True),
+            ("paused", True, False, True),
+            ("unclear", None, False, True),
+            ("broken", True, True, False),
+            ("gone", True, False, False),
+            ("unknown", None, None, None),
+        ],
+        DAGS,
+    )
+    got = {r[0]: r[1:] for r in rows(runs.run_decision(dags, history))}
+    assert got == {
+        "a": ("adopt", 1, "a2"),
+        "b": ("refuse_busy", 4, None),
+        # Scanned after all, so the import error is another file's.
+        "c": ("trigger", 0, None),
+        "paused": ("refuse_paused", 0, None),
+        "unclear": ("refuse_paused", 0, None),
+        "broken": ("parse_error", 0, None),
+        "gone": ("absent", 0, None),
+        "unknown": ("absent", 0, None),
+    }
+    unpaused = {r[0]: r[1] for r in rows(runs.run_decision(dags, history, unpause=True))}
+    assert unpaused["paused"] == "trigger" and unpaused["gone"] == "absent"
+
+
+def test_a_finished_state_is_read_before_the_clock(spark, rows):
+    df = spark.createDataFrame(
+        [
+            ("a", "late", "success", None, 99999),
+            ("a", "bad", "failed", None, 99999),
+            ("a", "edge", "running", None, 3600),
+            ("a", "soon", "running", None, 3599),
+            ("a", "lost", None, None, 3600),
+        ],
+        RUNS,
+    )
+    got = {r[1]: r[2:] for r in rows(runs.run_verdict(df))}
+    assert got == {
+        "late": ("success", 99999, "success", True),
+        "bad": ("failed", 99999, "failed", False),
+        "edge": ("running", 3600, "no_verdict", False),
+        "soon": ("running", 3599, "pending", False),
+        "lost": ("unqueued", 3600, "no_verdict", False),
+    }
+    assert runs.run_verdict(df, timeout_s=10).where("verdict = 'pending'").isEmpty()
+
+
+def test_unfinished_lists_causes_first_and_keeps_null_states(ti):
+    got = [(r.label, r.task_id, r.rank) for r in runs.unfinished_tasks(ti, "a", "r1").collect()]
+    assert got == [
+        ("FAILED", "audit", 0),
+        ("FAILED", "clean", 0),
+        ("blocked", "check", 1),
+        ("blocked", "publish", 1),
+    ]
+    assert runs.unfinished_tasks(ti).count() == 6
+
+
+def test_failed_tasks_leave_null_states_out(ti):
+    assert [r.task_id for r in runs.failed_tasks(ti, "a", "r1").collect()] == ["audit", "clean"]
+
+
+def test_ending_tasks_covers_every_run_of_the_dag_and_no_other(ti, rows):
+    got = {r[:3]: r[3] for r in rows(runs.fail_in_flight_tasks(ti, ["a"]))}
+    assert got[("a", "r2", "load")] == "failed"
+    assert got[("b", "r1", "load")] == "deferred"
+    assert got[("a", "r1", "publish")] is None
+    assert got[("a", "r1", "check")] == "upstream_failed"
+    everywhere = runs.fail_in_flight_tasks(ti)
+    assert everywhere.where(F.col("state").isin("running", "queued", "scheduled", "deferred")).isEmpty()
+
+
+def test_ending_runs_sets_the_end_once(history, tmp_path, spark, rows):
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    dated = history.withColumn("end_date", F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
+    ended = runs.fail_in_flight_runs(dated, as_of, ["b"])
+    path = write_version(ended, str(tmp_path / "runs"), "2")
+    got = {r.run_id: (r.state, str(r.end_date)[:10]) for r in spark.read.parquet(path).collect()}
+    assert got["b1"] == ("failed", "2024-02-01")
+    assert got["a2"] == ("running", "2024-01-05")
+    assert got["d1"] == (None, "2024-01-05")
+    again = runs.fail_in_flight_runs(ended, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    assert again.where("run_id = 'b1' and year(end_date) = 2024").count() == 1
+
+
+def test_an_owner_is_resolved_only_when_there_is_one(spark, rows):
+    groups = spark.createDataFrame([("x",), ("y",), ("z",)], "g string")
+    items = spark.createDataFrame(
+        [("x", "dags/sub.dir/daily.v2.py"), ("y", "dags/a.py"), ("y", "dags/b.py"), ("w", "q.py")],
+        "g string, path string",
+    )
+    assert rows(runs.single_owner(items, groups, "g")) == [
+        ("x", 1, "daily.v2", "resolved"),
+        ("y", 2, None, "ambiguous"),
+        ("z", 0, None, "ambiguous"),
+    ]
+
+
+def test_verification_reads_the_adopted_run(spark, history, rows):
+    dags = spark.createDataFrame(
+        [("a", False, False, True), ("b", False, False, True), ("c", False, False, True)], DAGS
+    )
+    assert rows(verify_dags(dags, history, timeout_s=5)) == [
+        ("a", "adopt", 1, "a2", "running", "no_verdict", False),
+        ("b", "refuse_busy", 4, None, None, None, None),
+        ("c", "trigger", 0, None, None, None, None),
+    ]
