@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         "8",
         **{
             "spark.checkpoint.dir": str(shared),
+            # Plans are compared as text, so nothing in them may be cut.
+            "spark.sql.maxMetadataStringLength": "10000",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
     )
