@@ -28,5 +28,9 @@ LISTED_IMPORT_ERRORS = 5
 LOG_TAIL_LINES = 60
 EXCERPT_CHARS = 80
 
+# Files the scan leaves out: prose, and folders that name terms on purpose.
+PROSE_SUFFIXES = (".md", ".txt")
+UNSCANNED_ROOTS = ("product", "data", "tests")
+
 # Text after this mark is a comment and is not scanned.
 COMMENT_MARK = "#"

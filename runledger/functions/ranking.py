@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# spark.sql.optimizer.windowGroupLimitThreshold, default. Up to it Catalyst cuts
-# every group inside each map task, before the shuffle.
-MAP_SIDE_LIMIT = 1000
+# Up to this n Catalyst cuts every group inside each map task, before the shuffle.
+MAP_SIDE_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
@@ -22,7 +21,7 @@ def top_per_group(
     spreads it over tasks and keeps the answer exact.
     """
     rn = rank or "__rn"
-    if n > MAP_SIDE_LIMIT:
+    if n > int(df.sparkSession.conf.get(MAP_SIDE_LIMIT, "1000")):
         payload = [c for c in df.columns if c not in keys]
         salted = df.withColumn("__salt", F.pmod(F.xxhash64(*payload), F.lit(SALTS)))
         by_salt = Window.partitionBy(*keys, "__salt").orderBy(*order)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.fixed import PROSE_SUFFIXES, UNSCANNED_ROOTS
 from ..functions.text import code_part, contains_ignoring_case, excerpt, split_lines
 
 
@@ -46,6 +48,17 @@ class ScanRule:
         )
 
 
+def in_scope(
+    path: Column,
+    skip_suffixes: Sequence[str] = PROSE_SUFFIXES,
+    skip_roots: Sequence[str] = UNSCANNED_ROOTS,
+) -> Column:
+    """Whether a file, by its path below the scanned folder, is one the scan covers."""
+    root = F.substring_index(path, "/", 1)
+    prose = reduce(lambda a, b: a | b, [path.endswith(s) for s in skip_suffixes], F.lit(False))
+    return ~prose & ~root.isin(*skip_roots)
+
+
 def text_lines(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One row per line, numbered from 1, in the same task that read the text."""
     return split_lines(docs.select(F.col(path).alias("path"), F.col(text).alias("text")), "text")

@@ -296,6 +296,15 @@ FROM found WHERE n > 0""",
     "term_scan": _scan("license", LICENSE_STEPS),
     "term_scan_token": _scan("token", "rest AS (SELECT *, code AS rest FROM code)"),
     "term_scan_scoped": _scan("license", SCOPED_STEPS),
+    "term_scan_in_scope": f"""
+WITH {F6},
+code AS (
+  SELECT l.path || '.' || d.lang AS path, line_no, line, string_split(line, '#')[1] AS code
+  FROM doc_line l JOIN documents d ON d.doc_id = l.doc_id
+  WHERE d.lang <> 'de' AND d.source NOT IN ('src1', 'src7')),
+{LICENSE_STEPS}
+SELECT path, line_no, left(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 80) AS excerpt
+FROM rest WHERE contains(lower(code), 'license') AND contains(lower(rest), 'license')""",
     "guard_selftest": f"""
 WITH {F6},
 code AS (SELECT path, line_no, line, string_split(line, '#')[1] AS code FROM doc_line),

@@ -249,13 +249,27 @@ def term_scan_scoped(spark, sf):
     return scan.term_scan(fx.doc_path(spark, sf), rule)
 
 
+@query
+def term_scan_in_scope(spark, sf):
+    """The documents as files of a tree; one language and two folders are left out."""
+    docs = read_table(spark, sf, "documents").select(
+        F.concat_ws("/", "source", F.concat_ws(".", F.col("doc_id").cast("string"), "lang")).alias(
+            "path"
+        ),
+        "text",
+    )
+    covered = docs.where(scan.in_scope(F.col("path"), [".de"], ["src1", "src7"]))
+    return scan.term_scan(covered, LICENSE_RULE)
+
+
 @query
 def guard_selftest(spark, sf):
     """Lines labelled without the rule: any mention must hit, an exempt text must not."""
-    lines = scan.text_lines(fx.doc_path(spark, sf))
+    docs = fx.doc_path(spark, sf)
     line = F.col("line")
-    must_hit = lines.where(contains_ignoring_case(line, "license"))
-    must_miss = lines.where(
+    mentions = docs.where(contains_ignoring_case(F.col("text"), "license"))
+    must_hit = scan.text_lines(mentions).where(contains_ignoring_case(line, "license"))
+    must_miss = scan.text_lines(docs).where(
         contains_ignoring_case(line, "apache") | ~contains_ignoring_case(line, "license")
     )
     return scan.guard_selftest(LICENSE_RULE, must_hit, must_miss)

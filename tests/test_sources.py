@@ -4,12 +4,13 @@ import pytest
 
 from runledger.operators.gates import required_keys
 from runledger.operators.medallion import figures, publish_snapshot
+from runledger.operators.scan import Exemption, ScanRule, in_scope, term_scan
 from runledger.plans.acceptance import accept_run
 from runledger.session import scratch_dir
 from runledger.sources.landing import landing_read, landing_stream, latest_day, parse_payload
 from runledger.sources.snapshots import read_snapshot
-from runledger.sources.tables import register_external, write_version
-from runledger.sources.texts import paused_flag, read_pins
+from runledger.sources.tables import metadata_options, register_external, write_version
+from runledger.sources.texts import paused_flag, read_pins, read_text_files
 from runledger.sources.topics import kafka_options
 from pyspark.sql import functions as F
 
@@ -74,13 +75,17 @@ def test_one_failing_table_does_not_hide_the_others(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "it's"))
     paths = {n: str(tmp_path / n) for n in ("good", "missing", "it's")}
     paths["quoted"] = paths.pop("it's")
+    # Its schema can be read, one of its files cannot.
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "torn"))
+    (tmp_path / "torn" / "part-99999-torn.snappy.parquet").write_bytes(b"no parquet at all")
+    paths["torn"] = str(tmp_path / "torn")
     got = {r.table_name: r for r in register_external(spark, paths, prefix="t_").collect()}
     assert (got["good"].registered, got["good"].n_rows, got["good"].error) == (True, 7, None)
     assert (got["quoted"].registered, got["quoted"].n_rows) == (True, 3)
     assert not got["missing"].registered and got["missing"].n_rows is None
-    assert got["missing"].error
+    assert got["missing"].error and got["torn"].error and got["torn"].n_rows is None
     # Registering again replaces the entry and leaves the data alone.
-    again = register_external(spark, paths, prefix="t_").where("registered").count()
+    again = register_external(spark, paths, prefix="t_").where("error is null").count()
     assert again == 2 and spark.table("t_good").count() == 7
 
 
@@ -125,6 +130,36 @@ def test_pins_are_read_and_checked(spark, tmp_path, rows):
     assert [r.detail for r in missing.collect()] == ["missing key BROKER"]
 
 
+def test_files_of_a_tree_are_scanned_by_scope(spark, tmp_path, rows):
+    base = tmp_path / "tree + é"
+    for path, data in {
+        "zoo.cfg": b"north = zebra\nsouth = lion # no zebra\n",
+        "pens/a.cfg": b"paint = zebra-stripe\r\npen = zebra\r\n",
+        "guide.md": b"zebra",
+        "tests/a.py": b"zebra",
+        "pens/tests/b.py": b"  zebra  ",
+        "photo.bin": b"zebra \xff\xfe",
+    }.items():
+        (base / path).parent.mkdir(parents=True, exist_ok=True)
+        (base / path).write_bytes(data)
+    files = read_text_files(spark, str(base))
+    assert files.count() == 5
+    covered = files.where(in_scope(F.col("path")))
+    found = term_scan(covered, ScanRule("zebra", (Exemption("zebra-stripe", True),)))
+    assert rows(found) == [
+        ("pens/a.cfg", 2, "pen = zebra"),
+        ("pens/tests/b.py", 1, "zebra"),
+        ("zoo.cfg", 1, "north = zebra"),
+    ]
+
+
+def test_metadata_options():
+    assert "numPartitions" not in metadata_options("jdbc:x", "dag_run")
+    assert metadata_options("jdbc:x", "t", "id", (0, 9), 4)["numPartitions"] == "4"
+    with pytest.raises(ValueError):
+        metadata_options("jdbc:x", "t", parts=4)
+
+
 def test_paused_words(spark):
     df = spark.createDataFrame([("True",), ("False",), ("",), (None,)], "is_paused string")
     assert [r[0] for r in df.select(paused_flag()).collect()] == [True, False, None, None]
