@@ -42,10 +42,11 @@ def non_empty(tables: Mapping[str, DataFrame]) -> DataFrame:
 def non_empty_groups(expected: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """One violation per expected key that has no row in ``df``.
 
-    The keys of ``df`` are made distinct map-side, so a hot key joins as one row.
+    Keys are made distinct map-side, so a hot key joins as one row.
     """
     return (
         expected.select(key)
+        .distinct()
         .join(df.select(key).distinct(), key, "left_anti")
         .select(*_violation("non_empty", F.col(key), F.lit("no rows")))
     )
@@ -75,7 +76,12 @@ def required_keys(
     literal map and no join, and a kind that most entities share stays where it
     is. A kind without an entry needs nothing. ``present`` has ``key`` and, where
     keys belong to an entity, the entity column.
+
+    Keys that belong to no entity are cut to the declared ones; there are at most
+    as many, so they are broadcast and the entities do not gather on a few keys.
+    Keys of an entity join on both, repeated pairs made distinct map-side.
     """
+    declared = sorted({key for keys in requirement.values() for key in keys})
     pairs = [
         part
         for name, keys in requirement.items()
@@ -83,9 +89,13 @@ def required_keys(
     ]
     needed = entities.select(
         F.col(entity), F.explode(F.try_element_at(F.create_map(*pairs), F.col(kind))).alias("key")
-    )
-    on = [c for c in (entity, "key") if c in present.columns]
-    return needed.join(present.select(*on).distinct(), on, "left_anti").select(
+    ).distinct()
+    have = present.where(F.col("key").isin(*declared))
+    if entity in present.columns:
+        missing = needed.join(have.select(entity, "key").distinct(), [entity, "key"], "left_anti")
+    else:
+        missing = needed.join(F.broadcast(have.select("key").distinct()), "key", "left_anti")
+    return missing.select(
         *_violation(
             "required_keys", F.col(entity), F.concat(F.lit("missing key "), F.col("key"))
         )

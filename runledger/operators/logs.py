@@ -55,19 +55,26 @@ def failure_report(
 
     ``tails`` is the output of ``log_tail`` or ``text_tail``: at most n lines per
     file, so neither join sees a hot key. The failed tasks and their newest
-    attempts share one partitioning.
+    attempts share one partitioning. Tasks without an attempt would all have the
+    same NULL file; each joins on its own name instead, which matches none.
     """
     located = failed_tasks(ti).join(
         newest_attempt(attempts, written_at=written_at, tie=tie).select(*TASK_KEYS, file_key),
         list(TASK_KEYS),
         "left",
     )
-    said = tails.select(file_key, "line_no", "line", F.lit(True).alias("has_line"))
-    return located.join(said, file_key, "left").select(
-        *TASK_KEYS,
-        file_key,
-        "line_no",
-        F.when(F.col("has_line").isNull(), NO_LOG_FILE).otherwise(F.col("line")).alias("line"),
+    file = F.concat(F.lit("file "), F.col(file_key).cast("string"))
+    nowhere = F.concat_ws("/", F.lit("no file "), *TASK_KEYS)
+    said = tails.select(file.alias("__file"), "line_no", "line", F.lit(True).alias("has_line"))
+    return (
+        located.withColumn("__file", F.coalesce(file, nowhere))
+        .join(said, "__file", "left")
+        .select(
+            *TASK_KEYS,
+            file_key,
+            "line_no",
+            F.when(F.col("has_line").isNull(), NO_LOG_FILE).otherwise(F.col("line")).alias("line"),
+        )
     )
 
 

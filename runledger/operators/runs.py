@@ -32,9 +32,13 @@ def _only(df: DataFrame, dag_id: str | None, run_id: str | None = None) -> DataF
 
 
 def run_state(runs: DataFrame, requested: DataFrame) -> DataFrame:
-    """State of explicitly requested runs; one that does not exist is ``unqueued``."""
+    """State of each explicitly requested run; one that does not exist is ``unqueued``.
+
+    A run asked for many times is one row, made so map-side.
+    """
     found = runs.select("dag_id", "run_id", "state")
-    return requested.select("dag_id", "run_id").join(found, ["dag_id", "run_id"], "left").select(
+    asked = requested.select("dag_id", "run_id").distinct()
+    return asked.join(found, ["dag_id", "run_id"], "left").select(
         "dag_id", "run_id", F.coalesce("state", F.lit(UNQUEUED)).alias("state")
     )
 
@@ -192,7 +196,7 @@ def single_owner(items: DataFrame, groups: DataFrame, group: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("path").alias("one_path")
     )
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
-    return groups.select(group).join(members, group, "left").select(
+    return groups.select(group).distinct().join(members, group, "left").select(
         group,
         n.alias("n_members"),
         F.when(n == 1, file_stem(F.col("one_path"))).alias("owner_id"),

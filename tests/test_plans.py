@@ -189,3 +189,43 @@ def test_hot_keys_give_exact_answers(spark, hot):
     top = runs.in_flight_runs(busy).where("dag_id = 'd0'").orderBy("pos").collect()
     n_hot = sum(1 for i in range(90_000) if i % 3 == 0 or i % 1000 == 0)
     assert [(r.n_in_flight, r.run_id) for r in top] == [(n_hot, "0"), (n_hot, "3"), (n_hot, "6")]
+
+
+def test_a_repeated_question_is_one_row_per_task(spark, no_broadcast):
+    ids = spark.range(120_000, numPartitions=12).select(
+        F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 300).cast("string").alias("run_id"),
+        F.when(F.col("id") >= 0, "d").alias("dag_id"),
+    )
+    history = ids.distinct().withColumn("state", F.lit("success"))
+    found = runs.run_state(history, ids)
+    assert max(rows_into_the_shuffles(found)) <= 12 * 101
+    assert found.where("state = 'success'").count() == 100
+
+    entities = ids.select(F.col("run_id").alias("entity"), F.lit("api").alias("kind"))
+    pins = spark.range(50_000).select((F.col("id") % 2).cast("string").alias("key"))
+    missing = gates.required_keys(entities, {"api": ["1", "2"]}, pins)
+    assert max(rows_into_the_shuffles(missing)) <= 2 * 12 * 101
+    assert missing.count() == 100
+
+
+def test_tasks_without_an_attempt_do_not_pile_up(spark, no_broadcast):
+    ti = spark.range(60_000, numPartitions=12).select(
+        F.lit("d").alias("dag_id"),
+        F.lit("r").alias("run_id"),
+        F.col("id").cast("string").alias("task_id"),
+        F.lit("failed").alias("state"),
+    )
+    attempts = ti.where("cast(task_id as int) % 2 = 0").select(
+        "dag_id", "run_id", "task_id", F.col("task_id").cast("bigint").alias("attempt_id"),
+        F.lit(1).alias("attempt_ts"),
+    )
+    tails = attempts.select("attempt_id", F.lit(1).alias("line_no"), F.lit("x").alias("line"))
+    report = logs.failure_report(ti, attempts, tails)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        per_task = report.groupBy(F.spark_partition_id(), "line").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(per_task) == 16 and sum(r["count"] for r in per_task) == 60_000
+    assert max(r["count"] for r in per_task) < 1.2 * 60_000 / 16
+    assert report.where("line = 'x'").count() == 30_000
