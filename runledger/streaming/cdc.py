@@ -1,13 +1,14 @@
 """The change stream as a Structured Streaming job.
 
 State is the last change per key, deletions included, so that a late older row
-cannot revive a key. It grows with the number of keys; use the RocksDB state
-store (``STATE_STORE``) so it lives on disk and in the checkpoint, not in the heap.
+cannot revive a key. It grows with the number of keys, so it is kept in the RocksDB
+state store, on disk and in the checkpoint and not in the heap.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +23,19 @@ STATE_STORE = {
 }
 
 
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Choose the state store for a query that starts now, unless the session chose one."""
+    unset = [key for key in STATE_STORE if spark.conf.get(key, None) is None]
+    for key in unset:
+        spark.conf.set(key, STATE_STORE[key])
+    try:
+        yield
+    finally:
+        for key in unset:
+            spark.conf.unset(key)
+
+
 def cdc_stream(
     changes: DataFrame,
     keys: Sequence[str],
@@ -45,7 +59,8 @@ def cdc_stream(
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
     )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with _state_store(changes.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def read_current(
