@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CORRUPT = "_corrupt_record"
 DATE = "landing_date"
+FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def landing_read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -17,7 +18,7 @@ def landing_read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     listed = (
         spark.read.format("binaryFile")
-        .schema(f"path string, modificationTime timestamp, length bigint, content binary, {DATE} date")
+        .schema(f"{FILE}, {DATE} date")
         .load(path)
     )
     landed = (
@@ -39,13 +40,16 @@ def parse_payload(df: DataFrame, column: str, schema: str) -> DataFrame:
 def latest_day(df: DataFrame, ts: str) -> DataFrame:
     """Rows of the last day of a time column, for landings that are one table.
 
-    The bound is a scalar on the raw column, so the scan can skip row groups.
+    The bound is a scalar compared with the raw column; Spark pushes it to the scan
+    for types Parquet filters know (not for timestamps without time zone).
     """
     last = df.select(F.max(ts).cast("date").cast(df.schema[ts].dataType)).scalar()
     return df.where(F.col(ts) >= last)
 
 
-def landing_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+def landing_stream(
+    spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000
+) -> DataFrame:
     """The same landing as a stream of files."""
     return (
         spark.readStream.schema(f"{schema}, {CORRUPT} string, {DATE} date")

@@ -1,4 +1,4 @@
-"""Change topics. The Kafka connector ships apart from Spark; here only options are built and tested."""
+"""Change topics. The Kafka connector ships apart from Spark; only the options are tested."""
 
 from __future__ import annotations
 

@@ -18,8 +18,9 @@ TYPES = {
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in sorted(os.listdir(sf_dir)):
-        table = name.removesuffix(".parquet")
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{name}')")
+        table, path = name.removesuffix(".parquet"), f"{sf_dir}/{name}"
+        files = f"{path}/*.parquet" if os.path.isdir(path) else path
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
@@ -52,6 +53,7 @@ def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[str], in
     if have != want:
         problems.append(
             f"rows: {sum(have.values())} and {sum(want.values())}; "
-            f"only here {list((have - want).items())[:3]}; only SQL {list((want - have).items())[:3]}"
+            f"only here {list((have - want).items())[:3]}; "
+            f"only SQL {list((want - have).items())[:3]}"
         )
     return problems, sum(have.values())

@@ -6,7 +6,8 @@ from runledger.operators import gates
 
 def test_non_empty_names_the_empty_table(spark, rows):
     full = spark.range(5)
-    got = rows(gates.non_empty({"full": full, "empty": full.where("id > 9"), "zero": full.limit(0)}))
+    tables = {"full": full, "empty": full.where("id > 9"), "zero": full.limit(0)}
+    got = rows(gates.non_empty(tables))
     assert got == [("non_empty", "empty", "no rows"), ("non_empty", "zero", "no rows")]
     assert gates.non_empty({"full": full}).isEmpty()
 
@@ -18,7 +19,9 @@ def test_non_empty_groups_names_keys_without_rows(spark, rows):
 
 
 def test_null_is_not_an_accepted_value(spark, rows):
-    df = spark.createDataFrame([("p", "api"), ("q", None), ("r", "ftp")], "name string, kind string")
+    df = spark.createDataFrame(
+        [("p", "api"), ("q", None), ("r", "ftp")], "name string, kind string"
+    )
     assert rows(gates.accepted_values(df, "kind", ["api", "stream"], "name")) == [
         ("accepted_values", "q", "kind=NULL"),
         ("accepted_values", "r", "kind=ftp"),

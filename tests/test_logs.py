@@ -110,7 +110,8 @@ def test_lines_keep_file_order_across_splits(spark, log_tree, rows):
         big = lines.where("task_id = 'load'")
         assert big.select("block_start").distinct().count() > 5
         tails = logs.log_tail(lines, 3, ["path"], LINE_ORDER)
-        got = [r.line for r in tails.where("path like '%attempt=2.log'").orderBy(*LINE_ORDER).collect()]
+        second = tails.where("path like '%attempt=2.log'").orderBy(*LINE_ORDER)
+        got = [r.line for r in second.collect()]
         lines.unpersist()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -140,8 +140,8 @@ def test_ending_tasks_covers_every_run_of_the_dag_and_no_other(ti, rows):
     assert got[("b", "r1", "load")] == "deferred"
     assert got[("a", "r1", "publish")] is None
     assert got[("a", "r1", "check")] == "upstream_failed"
-    everywhere = runs.fail_in_flight_tasks(ti)
-    assert everywhere.where(F.col("state").isin("running", "queued", "scheduled", "deferred")).isEmpty()
+    in_flight = F.col("state").isin("running", "queued", "scheduled", "deferred")
+    assert runs.fail_in_flight_tasks(ti).where(in_flight).isEmpty()
 
 
 def test_ending_runs_sets_the_end_once(history, tmp_path, spark, rows):

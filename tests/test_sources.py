@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from runledger.functions.money import cents
 from runledger.operators.gates import required_keys
 from runledger.operators.medallion import figures, publish_snapshot
 from runledger.operators.scan import Exemption, ScanRule, in_scope, term_scan
@@ -30,7 +31,9 @@ def landing(tmp_path):
 
 def test_only_the_latest_landing_is_read_and_bad_records_stay(spark, landing):
     df = landing_read(spark, landing, "id bigint, amount bigint")
-    got = sorted((r.id or 0, r.amount or 0, r._corrupt_record, str(r.landing_date)) for r in df.collect())
+    got = sorted(
+        (r.id or 0, r.amount or 0, r._corrupt_record, str(r.landing_date)) for r in df.collect()
+    )
     assert got == [
         (0, 0, "not json", "2024-01-10"),
         (0, 7, '{"id": "x", "amount": 7}', "2024-01-10"),
@@ -98,7 +101,7 @@ def test_a_version_is_never_overwritten(spark, tmp_path):
 def test_snapshot_is_json_and_reads_back(spark, tmp_path, rows):
     df = spark.createDataFrame([("a", 1.1), ("a", 2.2), ("b", 3.3)], "g string, x double")
     parts = [
-        figures(df, {"n": F.count(F.lit(1)), "cents": F.sum(F.round(df.x * 100).cast("bigint"))}, ["g"]),
+        figures(df, {"n": F.count(F.lit(1)), "cents": F.sum(cents(df.x))}, ["g"]),
         figures(df, {"all": F.count(F.lit(1)), "none": F.sum(F.lit(None).cast("bigint"))}),
     ]
     publish_snapshot("r1", parts, str(tmp_path / "snap"))
