@@ -235,6 +235,19 @@ SELECT t.dag_id, t.run_id, t.task_id, t.attempt_id, d.line_no,
        CASE WHEN d.doc_id IS NULL THEN '(no log file for this task)' ELSE d.line END AS line
 FROM task_instance t LEFT JOIN doc_tail d ON d.doc_id = t.attempt_id
 WHERE t.state = 'failed'""",
+    "failed_run_report": f"""
+WITH {F2}, {F6},
+failed_run AS (SELECT DISTINCT dag_id, run_id FROM task_instance WHERE state = 'failed')
+SELECT t.dag_id, t.run_id, t.task_id,
+       CASE WHEN t.state IS NOT DISTINCT FROM 'failed' THEN 'FAILED' ELSE 'blocked' END AS label,
+       CAST(CASE WHEN t.state IS NOT DISTINCT FROM 'failed' THEN 0 ELSE 1 END AS BIGINT) AS rank,
+       CASE WHEN t.state = 'failed' THEN t.attempt_id END AS attempt_id, d.line_no,
+       CASE WHEN d.doc_id IS NOT NULL THEN d.line
+            WHEN t.state = 'failed' THEN '(no log file for this task)' END AS line
+FROM task_instance t
+     JOIN failed_run f ON f.dag_id = t.dag_id AND f.run_id = t.run_id
+     LEFT JOIN doc_tail d ON t.state = 'failed' AND d.doc_id = t.attempt_id
+WHERE t.state IS DISTINCT FROM 'success'""",
     "import_error_lines": f"""
 WITH {F7},
 kept AS (
@@ -352,6 +365,10 @@ FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) r GROUP BY ALL""",
     "landing_latest": """
 SELECT event_id, ts, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
        CAST(NULL AS VARCHAR) AS _corrupt_record
+FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)""",
+    "landing_json": """
+SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) AS landing_date,
+       CAST(NULL AS VARCHAR) AS _corrupt_record
 FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)""",
     "cdc_apply": f"""
 WITH {F5}

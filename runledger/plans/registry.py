@@ -11,11 +11,11 @@ from ..functions.text import contains_ignoring_case
 from ..operators import cdc, compare, gates, logs, medallion, runs, scan
 from ..session import scratch_dir
 from ..sources import fixtures as fx
-from ..sources.landing import latest_day, parse_payload
+from ..sources.landing import landing_read, latest_day, parse_payload
 from ..sources.tables import read_table, register_external as register
 from ..streaming.cdc import cdc_stream as start_cdc_stream, read_current
 from .acceptance import accept_run, publish_and_read
-from .verify import verify_dags as verify
+from .verify import failed_run_report as report_failed_runs, verify_dags as verify
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,6 +140,17 @@ def failure_report(spark, sf):
     )
 
 
+@query
+def failed_run_report(spark, sf):
+    files = fx.doc_text(spark, sf).withColumnRenamed("doc_id", "attempt_id")
+    return report_failed_runs(
+        fx.task_run(spark, sf),
+        fx.task_instance(spark, sf),
+        fx.task_attempt(spark, sf),
+        logs.text_tail(files, n=3),
+    )
+
+
 @query
 def import_error_lines(spark, sf):
     return logs.import_error_lines(fx.cli_line(spark, sf))
@@ -345,6 +356,18 @@ def landing_latest(spark, sf):
     )
 
 
+@query
+def landing_json(spark, sf):
+    """The events landed as JSON by date; the latest date read back under a schema."""
+    path = scratch_dir(spark, "landing")
+    read_table(spark, sf, "events").select(
+        "event_id", "user_id", "event_type", "value", F.col("ts").cast("date").alias("landing_date")
+    ).write.partitionBy("landing_date").json(path)
+    return landing_read(
+        spark, path, "event_id bigint, user_id bigint, event_type string, value double"
+    )
+
+
 @query
 def cdc_apply(spark, sf):
     return cdc.cdc_apply(fx.change(spark, sf), ["k"], ["seq"])

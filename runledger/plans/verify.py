@@ -1,11 +1,12 @@
-"""From DAGs and runs to one verification row per DAG."""
+"""From DAGs and runs to a verdict, and from a failed run to what its tasks said."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from ..functions.fixed import VERDICT_TIMEOUT_S
-from ..operators.runs import run_decision, run_verdict
+from ..operators.logs import TASK_KEYS, failure_report
+from ..operators.runs import run_decision, run_verdict, unfinished_tasks
 
 
 def verify_dags(
@@ -20,3 +21,25 @@ def verify_dags(
     return decisions.join(verdicts, ["dag_id", "adopted_run_id"], "left").select(
         "dag_id", "decision", "n_in_flight", "adopted_run_id", "state", "verdict", "passed"
     )
+
+
+def failed_run_report(
+    runs: DataFrame,
+    ti: DataFrame,
+    attempts: DataFrame,
+    tails: DataFrame,
+    file_key: str = "attempt_id",
+    written_at: str = "attempt_ts",
+    tie: str = "attempt_id",
+) -> DataFrame:
+    """For every run whose verdict is ``failed``: its unfinished tasks and their last lines.
+
+    Failed tasks come with the log of their newest attempt; a task blocked behind
+    them is one row without a line. Read it by ``rank, task_id, line_no``.
+    """
+    failed = run_verdict(runs).where("verdict = 'failed'").select("dag_id", "run_id")
+    tasks = unfinished_tasks(ti).join(failed, ["dag_id", "run_id"], "left_semi")
+    said = failure_report(ti, attempts, tails, file_key, written_at, tie)
+    return tasks.join(said, list(TASK_KEYS), "left").select(
+        *TASK_KEYS, "label", "rank", file_key, "line_no", "line"
+    )

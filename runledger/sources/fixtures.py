@@ -47,6 +47,28 @@ def task_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_attempt(task_attempt(spark, sf_dir)).select(*TASK_KEYS, "state", "attempt_id")
 
 
+def task_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs the task instances belong to: failed if a task is, else open or done."""
+    state = F.col("state")
+    return (
+        task_instance(spark, sf_dir)
+        .groupBy("dag_id", "run_id")
+        .agg(
+            F.count_if(state == "failed").alias("n_failed"),
+            F.count_if(~state.eqNullSafe("success")).alias("n_open"),
+        )
+        .select(
+            "dag_id",
+            "run_id",
+            F.when(F.col("n_failed") > 0, "failed")
+            .when(F.col("n_open") > 0, "running")
+            .otherwise("success")
+            .alias("state"),
+            F.lit(0).cast("bigint").alias("waited_s"),
+        )
+    )
+
+
 def dag_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = F.col("o_orderstatus") == "O"
     state = (
