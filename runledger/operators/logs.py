@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import LISTED_IMPORT_ERRORS, LOG_TAIL_LINES, NO_LOG_FILE
 from ..functions.ranking import top_per_group
@@ -43,41 +43,51 @@ def text_tail(files: DataFrame, n: int = LOG_TAIL_LINES, text: str = "text") ->
     return split_lines(files, text, NEWLINE, last=n)
 
 
-def failure_report(
-    ti: DataFrame,
+def last_words(
+    tasks: DataFrame,
     attempts: DataFrame,
     tails: DataFrame,
     file_key: str = "attempt_id",
     written_at: str = "attempt_ts",
     tie: str = "attempt_id",
+    asked: Column | None = None,
 ) -> DataFrame:
-    """What every failed task said last, or that it left no log.
+    """Each task with the last lines of its newest attempt, or that it left no log.
 
     ``tails`` is the output of ``log_tail`` or ``text_tail``: at most n lines per
-    file, so neither join sees a hot key. The failed tasks and their newest
-    attempts share one partitioning. Tasks without an attempt would all have the
-    same NULL file; each joins on its own name instead, which matches none.
+    file, so neither join sees a hot key. Tasks and newest attempts share one
+    partitioning. Tasks without an attempt would all have the same NULL file; each
+    joins on its own name instead, which matches none. A task for which ``asked``
+    is not true is kept as one row without a file and a line.
     """
-    located = failed_tasks(ti).join(
-        newest_attempt(attempts, written_at=written_at, tie=tie).select(*TASK_KEYS, file_key),
-        list(TASK_KEYS),
-        "left",
-    )
+    newest = newest_attempt(attempts, written_at=written_at, tie=tie)
+    located = tasks.join(newest.select(*TASK_KEYS, file_key), list(TASK_KEYS), "left")
+    if asked is not None:
+        located = located.withColumn(file_key, F.when(asked, F.col(file_key)))
     file = F.concat(F.lit("file "), F.col(file_key).cast("string"))
     nowhere = F.concat_ws("/", F.lit("no file "), *TASK_KEYS)
-    said = tails.select(file.alias("__file"), "line_no", "line", F.lit(True).alias("has_line"))
+    said = tails.select(file.alias("__file"), "line_no", "line", F.lit(True).alias("__has_line"))
+    silent = F.when(F.lit(True) if asked is None else asked, NO_LOG_FILE)
+    line = F.when(F.col("__has_line"), F.col("line")).otherwise(silent)
     return (
         located.withColumn("__file", F.coalesce(file, nowhere))
         .join(said, "__file", "left")
-        .select(
-            *TASK_KEYS,
-            file_key,
-            "line_no",
-            F.when(F.col("has_line").isNull(), NO_LOG_FILE).otherwise(F.col("line")).alias("line"),
-        )
+        .select(*tasks.columns, file_key, "line_no", line.alias("line"))
     )
 
 
+def failure_report(
+    ti: DataFrame,
+    attempts: DataFrame,
+    tails: DataFrame,
+    file_key: str = "attempt_id",
+    written_at: str = "attempt_ts",
+    tie: str = "attempt_id",
+) -> DataFrame:
+    """What every failed task said last, or that it left no log."""
+    return last_words(failed_tasks(ti), attempts, tails, file_key, written_at, tie)
+
+
 def import_error_lines(
     lines: DataFrame, k: int = LISTED_IMPORT_ERRORS, bundle: str = "dag_id", order: str = "line_no"
 ) -> DataFrame:

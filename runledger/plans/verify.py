@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fixed import VERDICT_TIMEOUT_S
-from ..operators.logs import TASK_KEYS, failure_report
+from ..functions.fixed import FAILED_LABEL, VERDICT_TIMEOUT_S
+from ..operators.logs import last_words
 from ..operators.runs import run_decision, run_verdict, unfinished_tasks
 
 
@@ -39,7 +39,7 @@ def failed_run_report(
     """
     failed = run_verdict(runs).where("verdict = 'failed'").select("dag_id", "run_id")
     tasks = unfinished_tasks(ti).join(failed, ["dag_id", "run_id"], "left_semi")
-    said = failure_report(ti, attempts, tails, file_key, written_at, tie)
-    return tasks.join(said, list(TASK_KEYS), "left").select(
-        *TASK_KEYS, "label", "rank", file_key, "line_no", "line"
+    asked = F.col("label") == FAILED_LABEL
+    return last_words(
+        tasks.drop("state"), attempts, tails, file_key, written_at, tie, asked=asked
     )
