@@ -191,7 +191,8 @@ SELECT dag_id, decision, n_in_flight, adopted_run_id FROM decision""",
     "run_verdict": f"WITH {F3}, {VERDICT} SELECT * FROM verdict",
     "verify_dags": f"""
 WITH {F3}, {F4}, {IN_FLIGHT}, {_decision("false")}, {VERDICT}
-SELECT d.dag_id, d.decision, d.n_in_flight, d.adopted_run_id, v.state, v.verdict, v.passed
+SELECT d.dag_id, d.decision, d.n_in_flight, d.adopted_run_id, v.state, v.verdict,
+       coalesce(v.passed, false) AS passed
 FROM decision d LEFT JOIN verdict v ON v.dag_id = d.dag_id AND v.run_id = d.adopted_run_id""",
     "unfinished_tasks": f"""
 WITH {F2}

@@ -14,12 +14,19 @@ def verify_dags(
 ) -> DataFrame:
     """The decision for every DAG and, where a run is adopted, the verdict on that run.
 
-    The verdict is on one explicit run id, found before anything is started.
+    The verdict is on one explicit run id, found before anything is started. A DAG
+    without a verdict has not passed.
     """
     decisions = run_decision(dags, runs, unpause)
     verdicts = run_verdict(runs, timeout_s).withColumnRenamed("run_id", "adopted_run_id")
     return decisions.join(verdicts, ["dag_id", "adopted_run_id"], "left").select(
-        "dag_id", "decision", "n_in_flight", "adopted_run_id", "state", "verdict", "passed"
+        "dag_id",
+        "decision",
+        "n_in_flight",
+        "adopted_run_id",
+        "state",
+        "verdict",
+        F.coalesce("passed", F.lit(False)).alias("passed"),
     )
 
 

@@ -176,6 +176,6 @@ def test_verification_reads_the_adopted_run(spark, history, rows):
     )
     assert rows(verify_dags(dags, history, timeout_s=5)) == [
         ("a", "adopt", 1, "a2", "running", "no_verdict", False),
-        ("b", "refuse_busy", 4, None, None, None, None),
-        ("c", "trigger", 0, None, None, None, None),
+        ("b", "refuse_busy", 4, None, None, None, False),
+        ("c", "trigger", 0, None, None, None, False),
     ]
