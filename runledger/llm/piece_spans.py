@@ -11,9 +11,9 @@ library's own ``decode``.
 
 Defined cases: NULL and empty texts have no pieces and decode to the empty
 text; characters without a piece become byte pieces, of which the last spans
-the character and the others are empty, or the unknown piece; repeated rows are
-encoded each; an empty table gives an empty result; extra columns are ignored.
-Models other than BPE, or with user-defined or unused pieces, raise ValueError.
+the character and the others are empty; repeated rows are encoded each; an empty
+table gives an empty result; extra columns are ignored. Models other than BPE
+with byte pieces, or with user-defined or unused pieces, raise ValueError.
 
 Nothing is shuffled, a lost task is simply done again. Memory: texts are
 handled a slice at a time, ``REMEMBERED`` units at most are remembered, and a
@@ -26,7 +26,6 @@ import functools
 import hashlib
 import heapq
 import re
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -36,10 +35,10 @@ from pyspark.sql import DataFrame, functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from .common import slices
-from .merging import NONE, PairTable, merge
+from .merging import PairTable, merge
 
 SPACE = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 LONG = 256
 #: Symbols from here on stand for characters that are no piece.
 BARE = 1 << 21
@@ -166,14 +165,20 @@ class PieceEncoder:
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
         kind = type(model.pieces[0])
-        if model.trainer_spec.model_type != 2 or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces):
-            raise ValueError("only BPE models without user-defined or unused pieces")
+        if model.trainer_spec.model_type != 2 or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces) or not model.trainer_spec.byte_fallback:
+            raise ValueError("only BPE models with byte pieces, a piece for each character of a piece, and none user-defined or unused")
         self.normalize = Normalizer(model.normalizer_spec, model.trainer_spec.treat_whitespace_as_suffix)
-        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kind.UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kind.BYTE}
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL}
-        self.widths = {i: len(p.encode()) for p, i in normal.items()}
-        symbol = lambda s: normal.get(s, BARE + ord(s) if len(s) == 1 else -1)
+        if not {c for p in normal for c in p} <= normal.keys():
+            raise ValueError(f"a character of a piece has none itself: {path}")
+        self.text_of = list(map(str, range(len(model.pieces))))
+        self.widths, self.lead = np.zeros((2, len(model.pieces)), np.int64)
+        for p, i in normal.items():
+            self.widths[i] = len(p.encode())
+        for value, i in self.bytes.items():
+            self.lead[i] = 1 if value < 0x80 else 0 if value < 0xC0 else 2 if value < 0xE0 else 3 if value < 0xF0 else 4
+        symbol = lambda s: normal.get(s, -1)
         rank = {s: r for r, s in enumerate(sorted({model.pieces[i].score for i in normal.values()}, reverse=True))}
         rows = [
             (symbol(p[:k]), symbol(p[k:]), rank[model.pieces[i].score], i)
@@ -183,48 +188,51 @@ class PieceEncoder:
         rows = [r for r in rows if r[0] >= 0 and r[1] >= 0]
         self.table = PairTable(*(zip(*rows) if rows else [[]] * 4))
         self.pairs = None
-        self.single = {p: i for p, i in normal.items() if len(p) == 1}
+        self.of_char = BARE + np.arange(0x110000, dtype=np.int32)
+        for p, i in normal.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        for value, i in self.bytes.items():
+            if value < 0x80 and chr(value) not in normal:  # such a character is its byte piece, which no pair has
+                self.of_char[value] = i
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
         self.unit = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
-        #: Unit -> its ids, the ids as text, bytes of the normalised text per id.
-        self.known: dict[str, tuple[tuple[int, ...], str, tuple[int, ...]]] = {}
+        self.known: dict[str, bytes] = {}  # unit -> its ids, four bytes each
 
-    def _symbols(self, unit: str) -> list[int]:
-        return [self.single.get(c, BARE + ord(c)) for c in unit]
+    def _symbols(self, text: str) -> np.ndarray:
+        return self.of_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
-    def _remember(self, unit: str, symbols: list[int]) -> None:
-        ids, widths = [], []
+    def _with_bytes(self, symbols: list[int]) -> np.ndarray:
+        ids = []
         for s in symbols:
-            if s < BARE:
-                ids.append(s)
-                widths.append(self.widths[s])
-            else:
-                raw = chr(s - BARE).encode("utf-8", "surrogatepass")
-                own = [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
-                if not self.bytes and ids and ids[-1] == self.unknown:  # unknown characters in a row are one piece
-                    widths[-1] += len(raw)
-                    continue
-                ids += own
-                widths += [0] * (len(own) - 1) + [len(raw)]
-        self.known[unit] = tuple(ids), ",".join(map(str, ids)), tuple(widths)
+            ids += [s] if s < BARE else [self.bytes[b] for b in chr(s - BARE).encode("utf-8", "surrogatepass")]
+        return np.array(ids, np.int32)
 
     def learn(self, units: list[str]) -> None:
         short = [u for u in units if len(u) <= LONG]
-        lists = [self._symbols(u) for u in short]
-        flat, sizes = merge(np.fromiter(chain.from_iterable(lists), np.int32), [len(x) for x in lists], self.table, leftmost=True)
-        flat, at = flat.tolist(), 0
-        for unit, size in zip(short, sizes.tolist()):
-            self._remember(unit, flat[at : at + size])
-            at += size
+        flat, sizes = merge(self._symbols("".join(short)), [len(u) for u in short], self.table, leftmost=True)
+        ends = np.cumsum(sizes)
+        raw, whole = flat.tobytes(), (4 * ends).tolist()
+        self.known.update(zip(short, (raw[a:b] for a, b in zip([0, *whole], whole))))
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat >= BARE), side="right")).tolist():
+            self.known[short[k]] = self._with_bytes(flat[ends[k] - sizes[k] : ends[k]].tolist()).tobytes()
         for unit in units:
             if len(unit) > LONG:
                 if self.pairs is None:
                     t = self.table
-                    self.pairs = {(k >> 32, k & 0xFFFFFFFF): (r, m) for k, r, m in zip(t.keys.tolist(), t.rank.tolist(), t.merged.tolist()) if r < NONE}
-                self._remember(unit, merge_long(self._symbols(unit), self.pairs))
-
-    def encode(self, texts: list[str | None]) -> list[tuple[list[tuple], np.ndarray]]:
-        """For each text its units, as remembered, and the source places of its normalised bytes."""
+                    self.pairs = dict(zip(zip((t.keys >> 32).tolist(), (t.keys & 0xFFFFFFFF).tolist()), zip(t.rank.tolist(), t.merged.tolist())))
+                self.known[unit] = self._with_bytes(merge_long(self._symbols(unit).tolist(), self.pairs)).tobytes()
+
+    def spans(self, ids: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last byte, exclusive, of each piece in the original text."""
+        widths = self.widths[ids]
+        lead = np.flatnonzero(self.lead[ids])  # the first byte piece of a character; its last one spans it
+        widths[lead + self.lead[ids[lead]] - 1] = self.lead[ids[lead]]
+        ends = np.cumsum(widths)
+        return origin[ends - widths], origin[ends]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids, and the source places of its normalised bytes."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut, new = [], set()
@@ -235,14 +243,7 @@ class PieceEncoder:
             cut.append((units, origin))
         if new:
             self.learn(list(new))
-        return [(list(map(self.known.__getitem__, units)), origin) for units, origin in cut]
-
-
-def spans(units: list[tuple], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last byte, exclusive, of each piece in the original text."""
-    widths = np.fromiter(chain.from_iterable(u[2] for u in units), np.int64)
-    ends = np.cumsum(widths)
-    return origin[ends - widths], origin[ends]
+        return [(np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int32), origin) for units, origin in cut]
 
 
 @functools.cache
@@ -262,9 +263,9 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
         tool = encoder(path)
         for batch in slices(batches):
             ids, begins, ends = [], [], []
-            for units, origin in tool.encode(batch.column("text").to_pylist()):
-                ids.append(list(chain.from_iterable(u[0] for u in units)))
-                begin, end = spans(units, origin)
+            for own, origin in tool.encode(batch.column("text").to_pylist()):
+                ids.append(own)
+                begin, end = tool.spans(own, origin)
                 begins.append(begin.tolist())
                 ends.append(end.tolist())
             kind = pa.list_(pa.int32())
@@ -284,11 +285,11 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in slices(batches):
             counts, of_ids, of_texts, covered = [], [], [], []
-            for units, origin in tool.encode(batch.column("text").to_pylist()):
-                ids = list(chain.from_iterable(u[0] for u in units))
-                begin, end = spans(units, origin)
+            for own, origin in tool.encode(batch.column("text").to_pylist()):
+                begin, end = tool.spans(own, origin)
+                ids = own.tolist()
                 counts.append(len(ids))
-                of_ids.append(sha(",".join(u[1] for u in units)))
+                of_ids.append(sha(",".join(map(tool.text_of.__getitem__, ids))))
                 of_texts.append(sha(tool.decode(ids) if ids else ""))
                 covered.append(int((end - begin).sum()))
             yield pa.RecordBatch.from_arrays(

@@ -29,7 +29,7 @@ from .common import slices
 from .merging import PairTable, merge
 
 LIMIT = 1024
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 def byte_symbols() -> list[str]:
