@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_rules, mixing
+from . import chunk_dedup, line_rules, mixing, piece_spans, token_counts
 
 QUERIES = {
     fn.__name__: fn
     for fn in (
+        chunk_dedup.op1_chunk_dedup,
+        token_counts.op2_token_counts,
+        piece_spans.op5_pieces,
         line_rules.op9_line_rules,
         mixing.op10_mixing,
     )
