@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, line_rules, mixing, piece_spans, token_counts
+from . import chunk_dedup, line_rules, mixing, multi_index, piece_spans, token_counts
 
 QUERIES = {
     fn.__name__: fn
@@ -10,6 +10,7 @@ QUERIES = {
         chunk_dedup.op1_chunk_dedup,
         token_counts.op2_token_counts,
         piece_spans.op5_pieces,
+        multi_index.op6_multi_index,
         line_rules.op9_line_rules,
         mixing.op10_mixing,
     )
