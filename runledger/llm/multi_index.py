@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import kept_table
@@ -151,7 +152,7 @@ def _best(key, entries: pa.Table, queries: pa.Table, wanted: int):
     cells, ids, vectors = cells[order], entries["vec_id"].to_numpy()[order], _matrix(entries["v"])[order]
     asked, asking = queries["query_id"].to_numpy(), _matrix(queries["v"])
     per_query = queries["cells"].combine_chunks()
-    probed, owner = per_query.flatten().to_numpy(), np.repeat(np.arange(len(asked)), pa.compute.list_value_length(per_query).to_numpy())
+    probed, owner = per_query.flatten().to_numpy(), np.repeat(np.arange(len(asked)), pc.list_value_length(per_query).to_numpy())
     found_q, found_e, found_s = [], [], []
     for cell in np.unique(cells):
         mine = slice(*np.searchsorted(cells, [cell, cell + 1]))
