@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, line_rules, mixing, multi_index, piece_spans, token_counts
+from . import chat_format, chunk_dedup, line_rules, mixing, multi_index, piece_spans, rule_ensemble, token_counts
 
 QUERIES = {
     fn.__name__: fn
     for fn in (
         chunk_dedup.op1_chunk_dedup,
         token_counts.op2_token_counts,
+        rule_ensemble.op4_rule_ensemble,
         piece_spans.op5_pieces,
         multi_index.op6_multi_index,
+        chat_format.op8_chat_format,
         line_rules.op9_line_rules,
         mixing.op10_mixing,
     )
