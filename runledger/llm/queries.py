@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_dedup, line_rules, mixing, multi_index, piece_spans, rule_ensemble, token_counts
+from . import chat_format, chunk_dedup, line_rules, mixing, multi_index, near_dedup, piece_spans, rule_ensemble, token_counts
 
 QUERIES = {
     fn.__name__: fn
     for fn in (
         chunk_dedup.op1_chunk_dedup,
         token_counts.op2_token_counts,
+        near_dedup.op3_near_classes,
         rule_ensemble.op4_rule_ensemble,
         piece_spans.op5_pieces,
         multi_index.op6_multi_index,
