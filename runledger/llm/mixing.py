@@ -124,58 +124,58 @@ def _covered(at: Column, size: Column, start: Column, length: Column) -> Column:
     return F.greatest(F.lit(0), F.least(at + size, start + length) - F.greatest(at, start))
 
 
-def mix(
-    docs: DataFrame,
-    ratio: float = RATIO,
-    most: int = MOST,
-    weights=WEIGHTS,
-    block: int = BLOCK,
-    shard_tokens: int = SHARD_TOKENS,
-    seed: int = SEED,
-    key: str = "doc_id",
-) -> DataFrame:
-    """One row per document: key, source, size, source_size, target, taken, and its passes.
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """Adds host, size, and the numbers that place a document: __shard, __order, __text."""
+    doc_id = F.col("doc_id").cast("long")
+    return (
+        docs.withColumn("__host", fold("source"))
+        .withColumn("__size", words_in("text"))
+        .withColumn("__shard", F.xxhash64(doc_id, F.lit(seed)))
+        .withColumn("__order", F.xxhash64(doc_id, F.lit(seed + 2)))
+        .withColumn("__text", F.xxhash64("text"))
+    )
 
-    ``passes`` has for each time the shard's order runs the token spans
-    [from, upto) of the document that the mix takes, empty ones left out.
-    """
-    sizes = kept_table(docs.select(F.col(key).alias("key"), F.col("source").cast("string"), words_in("text").alias("size")), "mix-sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+
+def _quotas(sizes: DataFrame, ratio: float, most: int, weights, block: int, shard_tokens: int, seed: int) -> tuple[DataFrame, int]:
+    """Per host and shard its run of tokens (start, length), its source's target; and the number of shards."""
+    total = sizes.agg(F.sum("__size")).first()[0] or 0
     shards = max(1, math.ceil(total / shard_tokens))
-    sizes = sizes.withColumn("host", fold("source")).withColumn(
-        "shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(shards)).cast("long")
+    per_shard = (
+        sizes.groupBy(F.col("__host").alias("host"), F.pmod("__shard", F.lit(shards)).alias("shard"))
+        .agg(F.first("source").alias("source"), F.sum("__size").alias("shard_size"))
     )
-    per_shard = sizes.groupBy("host", "shard").agg(F.first("source").alias("source"), F.sum("size").alias("shard_size"))
     targets = source_targets(
         per_shard.groupBy("host").agg(F.first("source").alias("source"), F.sum("shard_size").alias("source_size")).select("source", "source_size"),
         ratio, most, weights,
-    )
+    )
     blocks = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
     of_sources = apportion(
         targets.withColumn("blocks", blocks).withColumn("all", F.lit(0)), ["all"], "place", "target", "blocks", "quota"
     ).select(fold("source").alias("host"), "source_size", "target", "quota")
-    quotas = apportion(
+    cells = apportion(
         per_shard.select("host", "shard", "shard_size").join(of_sources, "host"), ["host"], "shard", "shard_size", "quota", "shard_quota"
     )
     ring = F.col("shard_size") * most
-    quotas = kept_table(
-        quotas.withColumn("length", F.least(F.col("shard_quota") * block, ring))
-        .withColumn(
-            "start",
-            F.when(ring > 0, F.pmod(F.xxhash64("host", "shard", F.lit(seed + 1)), F.greatest(F.lit(1), F.floor(ring / block))) * block).otherwise(0),
-        )
+    places = F.greatest(F.lit(1), F.floor(ring / block))
+    start = F.when(ring > 0, F.pmod(F.xxhash64("host", "shard", F.lit(seed + 1)), places) * block).otherwise(0)
+    return kept_table(
+        cells.withColumn("length", F.least(F.col("shard_quota") * block, ring)).withColumn("start", start)
         .select("host", "shard", "shard_size", "source_size", "target", "length", "start"),
         "mix-quotas",
+    ), shards
+
+
+def _taken(rows: DataFrame, quotas: DataFrame, shards: int, most: int) -> DataFrame:
+    """Adds the quota's columns and ``passes``: per copy the spans [from, upto) of words that the mix takes."""
+    rows = rows.withColumn("__shard", F.pmod("__shard", F.lit(shards)))
+    order = Window.partitionBy("__host", "__shard").orderBy("__order", "doc_id", "__size", "__text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("__at", F.sum("__size").over(order) - F.col("__size")).join(
+        quotas, (F.col("__host") == F.col("host")) & (F.col("__shard") == F.col("shard"))
     )
-    order = Window.partitionBy("host", "shard").orderBy(F.xxhash64("key", F.lit(seed + 2)), "key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        sizes.withColumn("at", F.sum("size").over(order) - F.col("size"))
-        .join(quotas, ["host", "shard"])
-    )
-    size, ring = F.col("size"), F.col("shard_size") * most
+    size, ring = F.col("__size"), F.col("shard_size") * most
 
     def spans(copy: int) -> list[Column]:
-        at = F.col("at") + copy * F.col("shard_size")
+        at = F.col("__at") + copy * F.col("shard_size")
         found = []
         for turn in (0, 1):  # the run, and the same run one ring earlier, for its part past the end
             start = F.col("start") - turn * ring
@@ -186,36 +186,52 @@ def mix(
             )
         return found
 
-    passes = F.array_sort(F.array_compact(F.array(*[x for copy in range(most) for x in spans(copy)])))
+    return placed.withColumn("passes", F.array_sort(F.array_compact(F.array(*[x for copy in range(most) for x in spans(copy)]))))
+
+
+def mix(
+    docs: DataFrame, ratio: float = RATIO, most: int = MOST, weights=WEIGHTS, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, seed: int = SEED
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken."""
+    rows = _sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), seed)
+    sizes = kept_table(rows.drop("text"), "mix-sizes")
+    quotas, shards = _quotas(sizes, ratio, most, weights, block, shard_tokens, seed)
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda total, x: total + x["upto"] - x["from"])
-    return placed.withColumn("passes", passes).withColumn("taken", taken).select(
-        F.col("key").alias(key), "source", "size", "source_size", "target", "taken", "passes"
+    return _taken(sizes, quotas, shards, most).select(
+        "doc_id", "source", F.col("__size").alias("size"), "source_size", "target", taken.alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of the mix with the columns of ``docs``: one row for each pass that takes a part.
+def mixed_documents(
+    docs: DataFrame, ratio: float = RATIO, most: int = MOST, weights=WEIGHTS, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, seed: int = SEED
+) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``: one row for each copy of a document or part of it.
 
-    A whole document keeps its text; of a document at the end of a run the words
+    A whole document keeps its text; of a document at an end of a run the words
     taken are joined by single spaces. ``n_chars`` follows the text.
     """
-    keyed = kept_table(docs.withColumn("__key", F.struct("doc_id", F.xxhash64(*docs.columns).alias("h"), F.monotonically_increasing_id().alias("n"))), "mix-rows")
-    taken = mix(keyed, key="__key", **settings).where("taken > 0").select("__key", "size", F.explode("passes").alias("part"))
-    parts = taken.groupBy("__key", "part.copy").agg(
-        F.first("size").alias("__size"), F.array_sort(F.collect_list(F.struct("part.from", "part.upto"))).alias("__spans")
-    ).drop("copy")
-    joined = keyed.join(parts, "__key")
+    columns = docs.columns
+    sizes = kept_table(_sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), seed).select("source", "__host", "__size", "__shard"), "mix-sizes")
+    quotas, shards = _quotas(sizes, ratio, most, weights, block, shard_tokens, seed)
+    # The caller's own columns of these names step aside.
+    renamed = {c: f"__own_{c}" for c in (*quotas.columns, "passes", "part") if c in columns}
+    rows = _sized(docs.withColumnsRenamed(renamed), seed)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    taken = _taken(rows, quotas, shards, most).where(F.size("passes") > 0)
+    parts = F.transform(
+        F.array(*[F.lit(k) for k in range(most)]), lambda k: F.filter("passes", lambda s: s["copy"] == k)
+    )
+    out = taken.withColumn("part", F.explode(F.filter(parts, lambda p: F.size(p) > 0)))
     cut = F.array_join(
-        F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["upto"] - s["from"]).cast("int")))), " "
+        F.flatten(F.transform("part", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["upto"] - s["from"]).cast("int")))), " "
     )
-    whole = F.col("__spans")[0]["upto"] - F.col("__spans")[0]["from"] == F.col("__size")
-    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
+    covered = F.aggregate("part", F.lit(0).cast("long"), lambda total, x: total + x["upto"] - x["from"])
+    out = out.withColumn("text", F.when(covered == F.col("__size"), F.col("text")).otherwise(cut))
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(renamed.get(c, c)).alias(c) for c in columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).drop("source")

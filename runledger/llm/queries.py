@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_dedup, line_rules, mixing, multi_index, near_dedup, piece_spans, rule_ensemble, token_counts
+from . import chat_format, chunk_dedup, line_rules, lm_scoring, mixing, multi_index, near_dedup, piece_spans, rule_ensemble, token_counts
 
 QUERIES = {
     fn.__name__: fn
@@ -13,6 +13,7 @@ QUERIES = {
         rule_ensemble.op4_rule_ensemble,
         piece_spans.op5_pieces,
         multi_index.op6_multi_index,
+        lm_scoring.op7_lm_scores,
         chat_format.op8_chat_format,
         line_rules.op9_line_rules,
         mixing.op10_mixing,
