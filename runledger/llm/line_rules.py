@@ -5,10 +5,11 @@ Every line is lower-cased, its gaps collapsed, and hashed. For each host (the
 document must not turn its prose into boilerplate, so documents count as
 distinct only when they differ in the rest: each document is known to a line by
 the smallest hash of two adjacent words among its other lines, which copies with
-a few edits mostly share. A line is over the limit when
+a few edits mostly share; this is done with ``len(MASKS)`` orders of the hashes,
+and the mean number of different values counts. A line is over the limit when
 
-* more distinct documents than ``max(min_docs, share * documents of the host)`` hold it, and
-* these are at least ``spread`` of all documents that hold it.
+* more than ``max(min_docs, share * documents of the host)`` documents hold it, and
+* at least ``spread`` of them are distinct in this sense.
 
 Lines over the limit are removed. A document is rejected when its base rules
 fail, or when the removal leaves fewer than ``min_left_words`` words or less
@@ -33,6 +34,7 @@ from dataclasses import dataclass
 from operator import concat
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -41,13 +43,15 @@ from pyspark.sql.types import StringType
 from .common import fold, hash64, kept_table, slices, text_hash
 
 SYMBOLS = "#*$%&|<>"
+#: Each turns the order of 32-bit hashes into another.
+MASKS = np.array([0x00000000, 0xA5C3965A, 0x5B1E77D2, 0xF0694B8D], np.uint32)
 
 
 @dataclass(frozen=True)
 class Limits:
     min_docs: int = 10
     share: float = 0.005
-    spread: float = 0.6
+    spread: float = 0.3
     min_left_words: int = 30
     min_left_share: float = 0.3
     min_words: int = 50
@@ -87,9 +91,11 @@ def measure(text: str | None) -> tuple:
         key = line_key(line)
         keys[key] = keys.get(key, 0) + len(own)
         if key not in pairs:
-            pairs[key] = min(map(crc32, map(concat, own, own[1:])), default=crc32(own[0]))
-    least = sorted((v, k) for k, v in pairs.items())[:2]
-    context = lambda key: next((v for v, k in least if k != key), -1)
+            hashes = np.fromiter(map(crc32, map(concat, own, own[1:])) if len(own) > 1 else [crc32(own[0])], np.uint32)
+            pairs[key] = (hashes[:, None] ^ MASKS).min(0).tolist()
+    # Of each order the two lines with the least values: the second serves the first's own line.
+    least = [sorted((v[j], k) for k, v in pairs.items())[:2] for j in range(len(MASKS))]
+    context = lambda key: [next((v for v, k in two if k != key), -1) for two in least]
     return (
         len(words),
         len(text) - sum(text.count(c) for c in " \t\n\x0b\f\r"),
@@ -101,7 +107,7 @@ def measure(text: str | None) -> tuple:
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64()), ("context", pa.int64())]))
+_LINES = pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64()), ("context", pa.list_(pa.int64()))]))
 
 
 def _measured(batches):
@@ -125,7 +131,7 @@ def line_verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             _measured,
             "doc_id long, text_hash long, host string, "
             + ", ".join(f"{c} long" for c in _COUNTS)
-            + ", lines array<struct<h:long,words:long,context:long>>",
+            + ", lines array<struct<h:long,words:long,context:array<long>>>",
         ),
         "line-measures",
     )
@@ -134,14 +140,15 @@ def line_verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
     over = kept_table(
-        lines.groupBy("host", "h", "context")
+        lines.select("host", "h", F.posexplode("context").alias("order", "context"))
+        .groupBy("host", "h", "order", "context")
         .agg(F.count("*").alias("n"))
         .groupBy("host", "h")
-        .agg(F.sum("n").alias("held_by"), F.count("*").alias("distinct_docs"))
-        .where(F.col("distinct_docs") > limits.min_docs)
+        .agg((F.sum("n") / len(MASKS)).alias("held_by"), (F.count("*") / len(MASKS)).alias("distinct_docs"))
+        .where(F.col("held_by") > limits.min_docs)
         .join(hosts, "host")
         .where(
-            (F.col("distinct_docs") > limits.share * F.col("host_docs"))
+            (F.col("held_by") > limits.share * F.col("host_docs"))
             & (F.col("distinct_docs") >= limits.spread * F.col("held_by"))
         )
         .select("host", "h"),

@@ -1,0 +1,197 @@
+import random
+from collections import defaultdict
+from itertools import combinations
+
+import numpy as np
+from llm.prose import prose
+from runledger.llm import near_dedup
+from runledger.llm.chunk_dedup import MIN_WORDS, chunks, cut_places, dedup_documents, gear_hash, op1_chunk_dedup, repeated_spans, GEAR
+from runledger.llm.components import components
+from runledger.llm.near_dedup import distinct_documents, near_classes, op3_near_classes
+from runledger.llm.weighted_minhash import Sampler, Shingler, similarity, words_of
+
+
+def test_gear_hash_is_the_rolling_one():
+    data = np.frombuffer(random.Random(1).randbytes(500), np.uint8)
+    h, rolled = 0, []
+    for b in data:
+        h = ((h << 1) + int(GEAR[b])) & 0xFFFFFFFF
+        rolled.append(h)
+    assert gear_hash(data).tolist() == rolled
+
+
+def test_chunks_join_to_the_text_and_resist_insertions():
+    words = prose(1, 3000)
+    text = " ".join(words)
+    found = chunks(text)
+    assert found[0]["begin"] == 0 and found[-1]["end"] == len(text) and all(a["end"] == b["begin"] for a, b in zip(found, found[1:]))
+    assert sum(c["w1"] - c["w0"] for c in found) == 3000
+    shifted = " ".join([*words[:1000], "inserted", "words", *words[1000:]])
+    known = {c["d"] for c in found}
+    assert sum(c["d"] not in known for c in chunks(shifted)) <= 4
+    assert chunks(None) == chunks("") == chunks(" \n ") == []
+    odd = "é" * 5000 + "日本" * 3000 + "a" * 9000
+    cuts, _ = cut_places(np.frombuffer(odd.encode(), np.uint8))
+    assert max(np.diff(cuts, prepend=0)) <= 1100
+    for a, b in zip([0, *cuts], cuts):
+        odd.encode()[a:b].decode()
+
+
+def brute_spans(rows):
+    owner, out = {}, set()
+    holders = defaultdict(set)
+    cut = {i: chunks(t) for i, t in rows}
+    for i, found in cut.items():
+        for c in found:
+            holders[c["d"]].add(i)
+    owner = {d: min(ids) for d, ids in holders.items() if len(ids) > 1}
+    for i, found in cut.items():
+        run = []
+        for c in [*found, None]:
+            if c and owner.get(c["d"], i) != i:
+                run.append(c)
+                continue
+            if run and run[-1]["w1"] - run[0]["w0"] >= MIN_WORDS:
+                out.add((i, run[0]["begin"], run[-1]["end"], run[-1]["w1"] - run[0]["w0"], min(owner[x["d"]] for x in run)))
+            run = []
+    return out
+
+
+def test_spans_of_a_table_are_those_of_a_brute_force_search(spark, texts):
+    assert {tuple(r) for r in op1_chunk_dedup(spark, "/root/testdata/sf0.001").collect()} == brute_spans(texts.items())
+
+
+def test_planted_passages_stay_once_and_clean_documents_stay_whole(make):
+    pick, rows = random.Random(2), []
+    passages = [prose(5000 + k, 55) for k in range(12)]
+    for i in range(120):
+        words = prose(i, 200)
+        at = pick.randrange(200)
+        rows.append((i, " ".join([*words[:at], *passages[i % 12], *words[at:]]) if i < 60 else " ".join(words)))
+    result = {r["doc_id"]: r["text"] for r in dedup_documents(make(rows)).collect()}
+    assert len(result) == 120
+    assert all(result[i] == rows[i][1] for i in [*range(12), *range(60, 120)])
+    for i in range(12, 60):
+        left = result[i].split()
+        assert sum(w in left for w in passages[i % 12]) < 30
+        assert all(w in left for w in prose(i, 200))
+    flagged = {r["doc"] for r in repeated_spans(make(rows)).collect()}
+    assert flagged == set(range(12, 60))
+
+
+def test_odd_rows_of_chunks(make):
+    same = " ".join(prose(1, 100))
+    rows = [(1, None), (2, ""), (3, same), (3, same), (4, same + " " + " ".join(prose(2, 40))), (None, same), (5, "x" * 100_000)]
+    docs = make(rows)
+    out = dedup_documents(docs)
+    assert out.columns == docs.columns
+    left = out.collect()
+    assert len(left) == 7 and [r["text"] for r in left if r["doc_id"] == 3] == [same, same]
+    assert next(r["text"] for r in left if r["doc_id"] is None) == ""
+    assert next(r for r in left if r["doc_id"] == 4)["text"].split()[-40:] == prose(2, 40)
+    assert {r["text"] for r in left if r["doc_id"] in (1, 2)} == {None, ""}
+    assert dedup_documents(make([])).collect() == [] and repeated_spans(make([])).collect() == []
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    a, b = cut(words_of(a)), cut(words_of(b))
+    return len(a & b) / len(a | b)
+
+
+def edited(words, changes, pick):
+    words = list(words)
+    for i in pick.sample(range(len(words)), changes):
+        words[i] = f"new{pick.randrange(10**6)}"
+    return words
+
+
+def test_samples_agree_as_often_as_texts_are_similar():
+    pick, shingle, sample = random.Random(3), Shingler(np.zeros(0, np.uint64), np.zeros(0), 4.6), Sampler(64, 1)
+    gaps = []
+    for k in range(120):
+        words = prose(k, 300)
+        other = edited(words, pick.randint(1, 40), pick) + words[:40] * pick.randint(0, 2)
+        keys, levels, counts = shingle([[w.encode() for w in t] for t in (words, other)])
+        numbers = sample(keys, levels, counts)
+        n = counts[0]
+        gaps.append((numbers[0] == numbers[1]).mean() - similarity(keys[:n], levels[:n], keys[n:], levels[n:])[0])
+    assert abs(np.mean(gaps)) < 0.01 and np.std(gaps) < 0.08
+
+
+def test_signatures_do_not_depend_on_the_company():
+    shingle, sample = Shingler(np.zeros(0, np.uint64), np.zeros(0), 4.6), Sampler(4, 3)
+    texts = [[w.encode() for w in prose(k, 5 + 40 * k)] for k in range(6)] + [[], [b"one"], [b"a", b"b"] * 4000]
+    together = sample(*shingle(texts))
+    alone = np.vstack([sample(*Shingler(np.zeros(0, np.uint64), np.zeros(0), 4.6)([t])) for t in texts])
+    assert (together == alone).all() and not together[6].any()
+
+
+def test_components(spark):
+    pick = random.Random(8)
+    links = [(pick.randrange(300), pick.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    found = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(found[x] == root(x) for x in found) and {x for a, b in links if a != b for x in (a, b)} == set(found)
+
+
+def test_classes_of_a_table_equal_those_of_all_pairs(spark, texts):
+    label = {i: i for i in texts}
+    near = [(a, b) for a, b in combinations(texts, 2) if words_of(texts[a]) and jaccard(texts[a], texts[b]) >= 0.8]
+    for _ in range(10):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    found = {r["doc_id"]: r["class_id"] for r in op3_near_classes(spark, "/root/testdata/sf0.001").collect()}
+    # Texts whose weighted similarity alone reaches 0.8 may be joined as well, never fewer.
+    assert len(found) == len(texts) and all(found[a] == found[b] for a, b in near)
+    assert all(jaccard(texts[i], texts[c]) >= 0.7 for i, c in found.items() if label[i] != c)
+
+
+def test_planted_copies_in_large_groups_and_clean_documents(make):
+    pick, rows = random.Random(6), []
+    base = prose(1, 150)
+    rows.append((500, " ".join(base)))
+    for i in range(501, 700):  # one large group around one text
+        rows.append((i, " ".join(edited(base, pick.randint(0, 2), pick))))
+    for i in range(200):
+        rows.append((i, " ".join(prose(100 + i, 150))))
+    passage = prose(3, 50)
+    for i in range(200, 300):  # a shared passage makes no copies
+        rows.append((i, " ".join(prose(1000 + i, 110) + passage)))
+    found = {r["doc_id"]: r for r in near_classes(make(rows), small=16).collect()}
+    assert all(found[i]["class_id"] == i and found[i]["n_links"] == 0 for i in range(300))
+    for i, text in rows[1:200]:
+        if jaccard(text, rows[0][1]) >= 0.8:
+            assert found[i]["class_id"] == 500 and found[i]["class_texts"] > 1
+    kept = {r["doc_id"] for r in distinct_documents(make(rows)).collect()}
+    assert kept == {c["class_id"] for c in found.values()}
+
+
+def test_odd_rows_of_classes(make):
+    same = " ".join(prose(1, 60))
+    rows = [(1, None), (2, ""), (9, " \n"), (3, same), (3, same), (8, same.upper()), (None, same), (4, "two words"), (5, "Two  words"), (6, "x " * 30_000), (None, "alone here")]
+    docs = make(rows)
+    found = near_classes(docs).collect()
+    assert len(found) == 11
+    of = lambda i: {r["class_id"] for r in found if r["doc_id"] == i}
+    assert [of(i) for i in (1, 2, 9, 3, 8, 4, 5, 6)] == [{1}, {2}, {9}, {3}, {3}, {4}, {4}, {6}]
+    assert sorted(map(str, (r["class_id"] for r in found if r["doc_id"] is None))) == ["3", "None"]
+    out = distinct_documents(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == ["1", "2", "3", "4", "6", "9", "None"]
+    assert near_classes(make([])).collect() == [] and distinct_documents(make([])).collect() == []
+
+
+def test_document_frequencies_are_whole(make):
+    rows = [(i, "common " + ("half " if i % 2 else "") + f"own{i}") for i in range(200)]
+    hashes, idf, rare = near_dedup.frequent_words(near_dedup._text_rows(make(rows)), 0.05)
+    assert sorted(np.round(idf, 6).tolist()) == [0.0, round(np.log(2), 6)] and len(hashes) == 2 and round(rare, 6) == round(np.log(20), 6)
