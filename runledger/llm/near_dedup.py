@@ -97,7 +97,7 @@ def signatures(rows: DataFrame, frequencies, bands: int, rows_per_band: int) ->
             digest = [hashlib.blake2b(b" ".join(t), digest_size=16).digest() if t else None for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("rid"), pa.array(digest, pa.binary()), pa.array(weight),
+                    batch.column("doc_id"), batch.column("rid"), pa.array(digest, pa.binary()), pa.array(weight, pa.float64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(numbers.ravel())),
                 ],
                 names=["doc_id", "rid", "digest", "weight", "bands"],

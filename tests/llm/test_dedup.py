@@ -116,7 +116,7 @@ def test_samples_agree_as_often_as_texts_are_similar():
         numbers = sample(keys, levels, counts)
         n = counts[0]
         gaps.append((numbers[0] == numbers[1]).mean() - similarity(keys[:n], levels[:n], keys[n:], levels[n:])[0])
-    assert abs(np.mean(gaps)) < 0.01 and np.std(gaps) < 0.08
+    assert abs(np.mean(gaps)) < 0.02 and np.std(gaps) < 0.08
 
 
 def test_signatures_do_not_depend_on_the_company():
