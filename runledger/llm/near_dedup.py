@@ -14,12 +14,14 @@
    reaches ``SIMILARITY``, or when the same shingles do without their weights, so
    that weighting never loses a copy. Classes are the connected components.
 4. Buckets that still hold several classes go on: up to ``SMALL`` texts, every
-   pair of different classes is compared; larger ones are divided by the next
-   band's number, until none is left. Each text is thus compared a bounded
-   number of times per band, whatever the size of its group.
+   pair of different classes is compared; larger ones are divided by the numbers
+   of the next band, then the next two, four and so on, until none is left. Each
+   text is thus compared a bounded number of times per band, whatever the size
+   of its group.
 
-A pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS:
-0.998 at 0.8, 0.9999 at 0.86.
+Only pairs that agree in ``AGREE`` bands or more are compared: of similarity s,
+each band agrees with probability s**ROWS, so 0.997 of the pairs at 0.8 are, and
+0.9998 at 0.86; of pairs at 0.3, which share a passage, 0.008.
 
 Defined cases: NULL texts and texts without words are no one's copy; texts of
 fewer than five words are compared whole; rows of one doc_id are one document;
@@ -47,8 +49,9 @@ from .components import components
 from .weighted_minhash import Sampler, Shingler, similarity, weights_of, word_hash, words_of
 
 SIMILARITY = 0.8
-BANDS = 12
+BANDS = 16
 ROWS = 4
+AGREE = 2
 RARE = 0.01
 SMALL = 64
 
@@ -138,8 +141,42 @@ def _near(one: str, other: str, least: float) -> Column:
     return F.least(one, other) >= 0.75 * least * F.greatest(one, other)
 
 
+def _pairs(members: DataFrame, least: float, agree: int) -> DataFrame:
+    """a, b: pairs to compare. Every pair of a narrow bucket, in a wide one each text with the most famous.
+
+    Pairs of one class, of too different weights, or of too few equal bands are left out.
+    """
+    wide, narrow = members.where(~F.col("narrow")), members.where("narrow")
+    side = lambda df, n: df.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "weight", "bands", "label")])
+    # The maximum over (fame, node) in two steps keeps the map-side part.
+    most = wide.groupBy("bucket").agg(F.max("fame").alias("fame"))
+    pivot = wide.join(most, ["bucket", "fame"]).groupBy("bucket").agg(F.min("node").alias("node"))
+    pivot = kept_table(side(wide.join(pivot, ["bucket", "node"]).dropDuplicates(["bucket"]), 2), "pivots")
+    found = side(wide, 1).join(pivot, "bucket").unionByName(
+        side(narrow, 1).join(side(narrow, 2), "bucket").where("node_1 < node_2")
+    )
+    equal = F.size(F.filter(F.zip_with("bands_1", "bands_2", lambda x, y: x == y), lambda same: same))
+    return (
+        found.where((F.col("label_1") != F.col("label_2")) & _near("weight_1", "weight_2", least) & (equal >= agree))
+        .select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b"))
+        .distinct()
+    )
+
+
+def _relabelled(labels: DataFrame | None, near: DataFrame) -> DataFrame:
+    """node, label after new links; only the links between labels are followed."""
+    if labels is None:
+        return components(near)
+    ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    held = kept_table(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "labels")
+    of = lambda end: held.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    between = near.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a != b").distinct()
+    merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return kept_table(held.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def near_classes(
-    docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS, rare: float = RARE, small: int = SMALL
+    docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS, rare: float = RARE, small: int = SMALL, agree: int = AGREE
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, rid, digest, node, class_id, class_texts, n_links.
 
@@ -154,56 +191,48 @@ def near_classes(
     named = kept_table(
         signed.drop("bands").join(known, "digest", "left").withColumn("node", F.coalesce("node", "rid")), "named"
     )
-    # One row per text: the signature of the row that names it.
+    # One row per text and band: the signature of the row that names it.
     own = signed.join(known, "digest").where("rid = node").select("node", "weight", "bands").dropDuplicates(["node"])
     members = kept_table(own.select("node", "weight", "bands", F.posexplode("bands").alias("band", "key")), "members")
-    crowd = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = kept_table(members.join(kept_table(crowd, "crowds"), ["band", "key"]), "crowded")
-    popular = kept_table(members.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    crowd = kept_table(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    members = members.join(crowd, ["band", "key"])
+    # Texts that share fewer bands than a pair has to agree in have no pair.
+    popular = kept_table(
+        members.groupBy("node").agg(F.sum("n").alias("fame"), F.count("*").alias("shared")).where(F.col("shared") >= agree).drop("shared"), "fame"
+    )
     # Candidates' texts, once, whatever the number of their pairs.
     texts = kept_table(
         rows.select(F.col("rid").alias("node"), "text").join(popular.select("node"), "node", "left_semi").dropDuplicates(["node"]), "candidates"
     )
     members = kept_table(
-        members.join(popular, "node").select("node", "weight", "fame", "bands", "band", F.xxhash64("band", "key").alias("bucket")), "buckets"
-    )
-    links = done = labels = None
-    for depth in range(1, bands + 1):
-        # The most crowded text of each bucket; max over (fame, node) in two steps keeps the map-side part.
-        most = members.groupBy("bucket").agg(F.max("fame").alias("fame"))
-        chosen = kept_table(
-            members.join(most, ["bucket", "fame"]).groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("weight", "node").alias("pivot_weight")), "pivots"
-        )
-        pairs = members.join(chosen, "bucket").where((F.col("node") != F.col("pivot")) & _near("weight", "pivot_weight", least)).select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
-        )
-        if labels is not None:
-            narrow = members.where(F.col("size") <= small)
-            side = lambda n: narrow.select("bucket", F.col("node").alias(f"n{n}"), F.col("weight").alias(f"w{n}"), F.col("label").alias(f"l{n}"))
-            blocks = side(1).join(side(2), "bucket").where((F.col("n1") < F.col("n2")) & (F.col("l1") != F.col("l2")) & _near("w1", "w2", least))
-            wide = members.where(F.col("size") > small).join(chosen, "bucket").where((F.col("node") != F.col("pivot")) & _near("weight", "pivot_weight", least))
-            pairs = blocks.select(F.col("n1").alias("a"), F.col("n2").alias("b")).union(
-                wide.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            ).join(done, ["a", "b"], "left_anti")
-        measured = kept_table(_compared(pairs.distinct(), texts, frequencies), "compared")
-        done = measured if done is None else kept_table(done.union(measured), "compared-all")
-        links = done.where((F.col("similarity") >= least) | (F.col("plain") >= least))
-        labels = components(links)
-        members = members.select("node", "weight", "fame", "bands", "band", "bucket", *([F.col("size").alias("before")] if depth > 1 else []))
-        if depth > 1:  # buckets whose pairs were all compared are settled
-            members = members.where(F.col("before") > small).drop("before")
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if depth > 1:  # divide by the next band; the first time buckets stay whole
-            following = F.element_at("bands", ((F.col("band") + F.lit(depth - 1)) % bands + 1).cast("int"))
-            now = now.withColumn("bucket", F.xxhash64("bucket", following))
+        members.join(popular, "node").select(
+            "node", "weight", "fame", "bands", "band", F.xxhash64("band", "key").alias("bucket"), F.lit(False).alias("narrow"), F.col("node").alias("label")
+        ),
+        "buckets",
+    )
+    done = links = labels = None
+    used, step = 0, 1
+    while True:
+        pairs = _pairs(members, least, agree)
+        if done is not None:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        measured = kept_table(_compared(pairs, texts, frequencies), "compared")
+        near = measured.where((F.col("similarity") >= least) | (F.col("plain") >= least)).select("a", "b")
+        done = measured if done is None else done.union(measured)
+        links = near if links is None else links.union(near)
+        labels = _relabelled(labels, near)
+        now = members.where(~F.col("narrow")).drop("label", "narrow").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         now = kept_table(now, "labelled")
-        open_buckets = kept_table(
-            now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size"),
-            "open",
+        still_open = (
+            now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+            .where("low < high").select("bucket", (F.col("size") <= small).alias("narrow"))
         )
-        if open_buckets.isEmpty():
+        following = [F.element_at("bands", ((F.col("band") + F.lit(used + k)) % bands + 1).cast("int")) for k in range(1, step + 1)]
+        bucket = F.when(F.col("narrow"), F.col("bucket")).otherwise(F.xxhash64("bucket", *following))
+        members = kept_table(now.join(still_open, "bucket").withColumn("bucket", bucket), "buckets")
+        if used >= bands or members.isEmpty():
             break
-        members = kept_table(now.join(open_buckets, "bucket"), "buckets")
+        used, step = used + step, 2 * step
     classes = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     figures = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
