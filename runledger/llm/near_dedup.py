@@ -7,8 +7,9 @@
    numbers of ``ROWS`` samples each (:mod:`weighted_minhash`). Texts of equal
    words are one text from here on, known by its smallest doc_id.
 3. Texts that share a band's number are a bucket. In each bucket every text is
-   compared with the one that sits in the fullest buckets: in a group of copies
-   that is the text the others were made from. Pairs whose weights differ too
+   compared with the one that sits in the fullest buckets (later with the first
+   ``PIVOTS`` of them): in a group of copies that is the text the others were
+   made from. Pairs whose weights differ too
    much to reach ``SIMILARITY`` are left out; of the others the weighted Jaccard
    similarity is worked out from the whole texts. A pair is a link when it
    reaches ``SIMILARITY``, or when the same shingles do without their weights, so
@@ -44,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.ranking import top_per_group
 from .common import kept_table, slices
 from .components import components
 from .weighted_minhash import Sampler, Shingler, similarity, weights_of, word_hash, words_of
@@ -52,6 +54,7 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 AGREE = 2
+PIVOTS = 4
 RARE = 0.01
 SMALL = 64
 
@@ -141,17 +144,14 @@ def _near(one: str, other: str, least: float) -> Column:
     return F.least(one, other) >= 0.75 * least * F.greatest(one, other)
 
 
-def _pairs(members: DataFrame, least: float, agree: int) -> DataFrame:
-    """a, b: pairs to compare. Every pair of a narrow bucket, in a wide one each text with the most famous.
+def _pairs(members: DataFrame, least: float, agree: int, pivots: int) -> DataFrame:
+    """a, b: pairs to compare. Every pair of a narrow bucket, in a wide one each text with the most famous ones.
 
     Pairs of one class, of too different weights, or of too few equal bands are left out.
     """
     wide, narrow = members.where(~F.col("narrow")), members.where("narrow")
     side = lambda df, n: df.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "weight", "bands", "label")])
-    # The maximum over (fame, node) in two steps keeps the map-side part.
-    most = wide.groupBy("bucket").agg(F.max("fame").alias("fame"))
-    pivot = wide.join(most, ["bucket", "fame"]).groupBy("bucket").agg(F.min("node").alias("node"))
-    pivot = kept_table(side(wide.join(pivot, ["bucket", "node"]).dropDuplicates(["bucket"]), 2), "pivots")
+    pivot = kept_table(side(top_per_group(wide, ["bucket"], [F.desc("fame"), F.asc("node")], pivots), 2), "pivots")
     found = side(wide, 1).join(pivot, "bucket").unionByName(
         side(narrow, 1).join(side(narrow, 2), "bucket").where("node_1 < node_2")
     )
@@ -211,9 +211,9 @@ def near_classes(
         "buckets",
     )
     done = links = labels = None
-    used, step = 0, 1
+    used, step = 0, 1  # bands by which buckets were divided, and by how many next
     while True:
-        pairs = _pairs(members, least, agree)
+        pairs = _pairs(members, least, agree, PIVOTS if used else 1)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         measured = kept_table(_compared(pairs, texts, frequencies), "compared")
