@@ -32,5 +32,8 @@ EXCERPT_CHARS = 80
 PROSE_SUFFIXES = (".md", ".txt")
 UNSCANNED_ROOTS = ("product", "data", "tests")
 
+# What puts the lines of a log that is read in splits in order.
+LINE_ORDER = ("block_start", "place")
+
 # Text after this mark is a comment and is not scanned.
 COMMENT_MARK = "#"

@@ -34,12 +34,35 @@ def snapshot_compare(
     )
 
 
+class SchemaDifference(ValueError):
+    """Two tables whose columns or types differ cannot hold the same rows."""
+
+
+def schema_differences(left: DataFrame, right: DataFrame) -> list[str]:
+    """What the schemas do not share: columns of one side and columns of two types."""
+    ours, theirs = dict(left.dtypes), dict(right.dtypes)
+    return (
+        [f"{c} is in the left table only" for c in ours if c not in theirs]
+        + [f"{c} is in the right table only" for c in theirs if c not in ours]
+        + [
+            f"{c} is {ours[c]} on the left and {theirs[c]} on the right"
+            for c in ours
+            if theirs.get(c, ours[c]) != ours[c]
+        ]
+    )
+
+
 def parity_check(left: DataFrame, right: DataFrame) -> DataFrame:
     """Multiset difference of two tables both ways: the row, its side, surplus copies.
 
+    Schemas are part of the parity: a column that one side lacks or has in another
+    type raises ``SchemaDifference``, which names it, before any row is read.
+
     One shuffle for both directions; copies are summed map-side, so a row that is
     repeated without end travels once per map task.
     """
+    if unlike := schema_differences(left, right):
+        raise SchemaDifference("; ".join(unlike))
     columns = left.columns
     signed = left.withColumn("__copies", F.lit(1)).unionByName(
         right.select(*columns).withColumn("__copies", F.lit(-1))

@@ -24,12 +24,12 @@ def _violation(gate: str, entity: Column, detail: Column) -> list[Column]:
 def non_empty(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One violation per table without rows.
 
-    All tables are counted in one pass with one shuffle of a row per map task; a
-    whole Parquet table is counted from its footers.
+    One row settles a table: each is cut to one, so Spark stops at the first file
+    that has any and only an empty table is read to its end.
     """
     rows = reduce(
         DataFrame.unionByName,
-        [df.select(F.lit(name).alias("entity")) for name, df in tables.items()],
+        [df.select(F.lit(name).alias("entity")).limit(1) for name, df in tables.items()],
     )
     names = rows.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(name) for name in tables])).alias("entity")
@@ -74,7 +74,7 @@ def required_keys(
 
     ``requirement`` maps a kind to its keys; it is a declaration, so it becomes a
     literal map and no join, and a kind that most entities share stays where it
-    is. A kind without an entry needs nothing. ``present`` has ``key`` and, where
+    is. A kind without an entry needs nothing, and neither does an empty mapping. ``present`` has ``key`` and, where
     keys belong to an entity, the entity column.
 
     Keys that belong to no entity are cut to the declared ones; there are at most
@@ -87,9 +87,9 @@ def required_keys(
         for name, keys in requirement.items()
         for part in (F.lit(name), F.array(*[F.lit(k) for k in keys]))
     ]
-    needed = entities.select(
-        F.col(entity), F.explode(F.try_element_at(F.create_map(*pairs), F.col(kind))).alias("key")
-    ).distinct()
+    by_kind = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
+    keys = F.try_element_at(by_kind.cast("map<string,array<string>>"), F.col(kind).cast("string"))
+    needed = entities.select(F.col(entity), F.explode(keys).alias("key")).distinct()
     have = present.where(F.col("key").isin(*declared))
     if entity in present.columns:
         missing = needed.join(have.select(entity, "key").distinct(), [entity, "key"], "left_anti")
@@ -118,10 +118,11 @@ def contract_check(df: DataFrame, contract: Contract) -> DataFrame:
 
     Types are compared on the schema alone. Everything else is one pass: rows are
     counted per key map-side and the counts are summed, so a hot key is one row
-    per map task. NULL keys count as equal.
+    per map task. NULL keys count as equal. A unique key with a missing column is
+    that violation; what is left of it promises nothing.
     """
     have = dict(df.dtypes)
-    unique = [c for c in contract.unique if c in have]
+    unique = list(contract.unique) if all(c in have for c in contract.unique) else []
 
     broken: list[tuple[str, str, Column]] = []
     for name in contract.not_null:

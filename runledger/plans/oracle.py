@@ -190,10 +190,40 @@ WITH {F3}, {F4}, {IN_FLIGHT}, {_decision("d.is_paused")}
 SELECT dag_id, decision, n_in_flight, adopted_run_id FROM decision""",
     "run_verdict": f"WITH {F3}, {VERDICT} SELECT * FROM verdict",
     "verify_dags": f"""
-WITH {F3}, {F4}, {IN_FLIGHT}, {_decision("false")}, {VERDICT}
+WITH {F3}, {F4}, {F7}, {IN_FLIGHT}, {_decision("false")},
+later AS (
+  SELECT dag_id, run_id, waited_s,
+         CASE WHEN state NOT IN ('running', 'queued') THEN state
+              WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 0 THEN 'success'
+              WHEN CAST(substr(run_id, 5) AS BIGINT) % 3 = 1 THEN 'failed'
+              ELSE state END AS state
+  FROM dag_run),
+verdict AS (
+  SELECT dag_id, run_id, state,
+         CASE WHEN state = 'success' THEN 'success' WHEN state = 'failed' THEN 'failed'
+              WHEN waited_s < 3600 THEN 'pending' ELSE 'no_verdict' END AS verdict,
+         state = 'success' AS passed
+  FROM later),
+open_run AS (
+  SELECT dag_id, run_id, row_number() OVER (PARTITION BY dag_id ORDER BY start_date, run_id) AS rn
+  FROM dag_run WHERE state IN ('running', 'queued')),
+open_list AS (
+  SELECT dag_id, string_agg(run_id, ', ' ORDER BY rn) AS said FROM open_run WHERE rn <= 3
+  GROUP BY dag_id),
+error_line AS (
+  SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY line_no) AS rn FROM cli_line
+  WHERE line <> 'No data found' AND line NOT LIKE 'filepath%'
+    AND NOT regexp_matches(line, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T')),
+error_list AS (
+  SELECT dag_id, string_agg(line, chr(10) ORDER BY line_no) AS said FROM error_line WHERE rn <= 5
+  GROUP BY dag_id)
 SELECT d.dag_id, d.decision, d.n_in_flight, d.adopted_run_id, v.state, v.verdict,
-       coalesce(v.passed, false) AS passed
-FROM decision d LEFT JOIN verdict v ON v.dag_id = d.dag_id AND v.run_id = d.adopted_run_id""",
+       coalesce(v.passed, false) AS passed,
+       CASE d.decision WHEN 'refuse_busy' THEN o.said WHEN 'parse_error' THEN e.said END AS because
+FROM decision d
+     LEFT JOIN verdict v ON v.dag_id = d.dag_id AND v.run_id = d.adopted_run_id
+     LEFT JOIN open_list o ON o.dag_id = d.dag_id
+     LEFT JOIN error_list e ON e.dag_id = d.dag_id""",
     "unfinished_tasks": f"""
 WITH {F2}
 SELECT dag_id, run_id, task_id, state,
@@ -216,6 +246,19 @@ SELECT dag_id, run_id, start_date, waited_s,
        CASE WHEN state IN ('running', 'queued') THEN TIMESTAMP '2024-02-01 00:00:00' END
          AS end_date
 FROM dag_run""",
+    "end_runs_of_dags": f"""
+WITH {F3}
+SELECT dag_id, run_id, start_date, waited_s,
+       CASE WHEN state IN ('running', 'queued') THEN 'failed' ELSE state END AS state,
+       CASE WHEN state IN ('running', 'queued') THEN TIMESTAMP '2024-02-01 00:00:00' END
+         AS end_date
+FROM dag_run WHERE dag_id IN ('dag_4', 'dag_7', 'dag_13', 'dag_100')""",
+    "end_tasks_of_dags": f"""
+WITH {F2}
+SELECT dag_id, run_id, task_id, attempt_id,
+       CASE WHEN state IN ('running', 'queued', 'scheduled', 'deferred') THEN 'failed'
+            ELSE state END AS state
+FROM task_instance WHERE dag_id IN ('dag_1', 'dag_3')""",
     "single_owner": """
 WITH member AS (
   SELECT o_custkey, count(*) AS n, min(o_orderkey) AS one FROM orders

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -70,7 +71,14 @@ def run_verdict(spark, sf):
 
 @query
 def verify_dags(spark, sf):
-    return verify(fx.dag(spark, sf), fx.dag_run(spark, sf), unpause=True)
+    """Decided on the runs as they are, judged on the same runs some time later."""
+    return verify(
+        fx.dag(spark, sf),
+        fx.dag_run(spark, sf),
+        fx.dag_run_later(spark, sf),
+        unpause=True,
+        errors=fx.cli_line(spark, sf),
+    )
 
 
 @query
@@ -94,6 +102,23 @@ def fail_in_flight_runs(spark, sf):
     return runs.fail_in_flight_runs(history, F.lit(AS_OF).cast("timestamp_ntz"))
 
 
+@query
+def end_runs_of_dags(spark, sf):
+    """The runs in flight of a few DAGs ended; the history of the others is not read."""
+    wanted = [f"dag_{i}" for i in (4, 7, 13, 100)]
+    runs_of = fx.dag_run(spark, sf).where(F.col("dag_id").isin(wanted))
+    history = runs_of.withColumn("end_date", F.lit(None).cast("timestamp_ntz"))
+    return runs.fail_in_flight_runs(history, F.lit(AS_OF).cast("timestamp_ntz"), wanted)
+
+
+@query
+def end_tasks_of_dags(spark, sf):
+    """The same for the tasks of two DAGs."""
+    wanted = ["dag_1", "dag_3"]
+    tasks = fx.task_instance(spark, sf).where(F.col("dag_id").isin(wanted))
+    return runs.fail_in_flight_tasks(tasks, wanted)
+
+
 @query
 def single_owner(spark, sf):
     """Customers as bundles; their urgent open orders as the files in them."""
@@ -134,9 +159,7 @@ def log_tail_whole_text(spark, sf):
 def failure_report(spark, sf):
     files = fx.doc_text(spark, sf).withColumnRenamed("doc_id", "attempt_id")
     return logs.failure_report(
-        fx.task_instance(spark, sf),
-        fx.task_attempt(spark, sf),
-        logs.text_tail(files, n=3),
+        fx.task_instance(spark, sf), fx.task_attempt(spark, sf), files, n=3
     )
 
 
@@ -147,7 +170,8 @@ def failed_run_report(spark, sf):
         fx.task_run(spark, sf),
         fx.task_instance(spark, sf),
         fx.task_attempt(spark, sf),
-        logs.text_tail(files, n=3),
+        files,
+        n=3,
     )
 
 
@@ -403,7 +427,7 @@ def gold_revenue(spark, sf):
 @query
 def register_external(spark, sf):
     paths = {name: f"{sf.rstrip('/')}/{name}.parquet" for name in STAR_TABLES}
-    return register(spark, paths, prefix="ext_")
+    return register(spark, paths, prefix=f"ext_{zlib.crc32(sf.encode()):08x}_")
 
 
 @query

@@ -4,22 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fixed import FAILED_LABEL, VERDICT_TIMEOUT_S
-from ..operators.logs import last_words
-from ..operators.runs import run_decision, run_verdict, unfinished_tasks
+from ..functions.fixed import FAILED_LABEL, LOG_TAIL_LINES, VERDICT_TIMEOUT_S
+from ..operators.logs import import_error_lines, last_words
+from ..operators.runs import in_flight_runs, run_decision, run_verdict, unfinished_tasks
 
 
 def verify_dags(
-    dags: DataFrame, runs: DataFrame, timeout_s: int = VERDICT_TIMEOUT_S, unpause: bool = False
+    dags: DataFrame,
+    runs: DataFrame,
+    later: DataFrame | None = None,
+    timeout_s: int = VERDICT_TIMEOUT_S,
+    unpause: bool = False,
+    errors: DataFrame | None = None,
 ) -> DataFrame:
     """The decision for every DAG and, where a run is adopted, the verdict on that run.
 
-    The verdict is on one explicit run id, found before anything is started. A DAG
-    without a verdict has not passed.
+    Decisions are made on ``runs``, the snapshot before; the verdict is on the one
+    run id adopted there, as ``later`` shows it (the same snapshot if not given, in
+    which an adopted run is in flight by definition). Only adopted runs of the later
+    snapshot enter the join. A DAG without a verdict has not passed.
+
+    ``because`` says what stands behind a refusal: the first runs in flight of a
+    busy DAG, or from ``errors`` (``dag_id, line_no, line``) the first lines that
+    carry an import error of a DAG that cannot be parsed.
     """
     decisions = run_decision(dags, runs, unpause)
-    verdicts = run_verdict(runs, timeout_s).withColumnRenamed("run_id", "adopted_run_id")
-    return decisions.join(verdicts, ["dag_id", "adopted_run_id"], "left").select(
+    adopted = decisions.where("adopted_run_id is not null").select(
+        "dag_id", F.col("adopted_run_id").alias("run_id")
+    )
+    watched = (runs if later is None else later).join(adopted, ["dag_id", "run_id"], "left_semi")
+    verdicts = run_verdict(watched, timeout_s).withColumnRenamed("run_id", "adopted_run_id")
+    listed = in_order(in_flight_runs(runs), "pos", "run_id", ", ").withColumnRenamed("said", "busy")
+    out = decisions.join(verdicts, ["dag_id", "adopted_run_id"], "left").join(listed, "dag_id", "left")
+    because = F.when(F.col("decision") == "refuse_busy", F.col("busy"))
+    if errors is not None:
+        out = out.join(in_order(import_error_lines(errors), "line_no", "line", "\n"), "dag_id", "left")
+        because = because.when(F.col("decision") == "parse_error", F.col("said"))
+    return out.select(
         "dag_id",
         "decision",
         "n_in_flight",
@@ -27,9 +48,17 @@ def verify_dags(
         "state",
         "verdict",
         F.coalesce("passed", F.lit(False)).alias("passed"),
+        because.alias("because"),
     )
 
 
+def in_order(rows: DataFrame, place: str, text: str, between: str) -> DataFrame:
+    """``(dag_id, said)``: the few listed texts of each DAG, joined in order."""
+    listed = F.array_sort(F.collect_list(F.struct(place, text)))
+    said = F.array_join(F.transform(listed, lambda x: x[text]), between)
+    return rows.groupBy("dag_id").agg(said.alias("said"))
+
+
 def failed_run_report(
     runs: DataFrame,
     ti: DataFrame,
@@ -38,6 +67,7 @@ def failed_run_report(
     file_key: str = "attempt_id",
     written_at: str = "attempt_ts",
     tie: str = "attempt_id",
+    n: int = LOG_TAIL_LINES,
 ) -> DataFrame:
     """For every run whose verdict is ``failed``: its unfinished tasks and their last lines.
 
@@ -48,5 +78,5 @@ def failed_run_report(
     tasks = unfinished_tasks(ti).join(failed, ["dag_id", "run_id"], "left_semi")
     asked = F.col("label") == FAILED_LABEL
     return last_words(
-        tasks.drop("state"), attempts, tails, file_key, written_at, tie, asked=asked
+        tasks.drop("state"), attempts, tails, file_key, written_at, tie, asked=asked, n=n
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +13,10 @@ from pyspark.sql import SparkSession
 
 @functools.cache
 def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="runledger-")
+    """A folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="runledger-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .folders import folder_names
+
 CORRUPT = "_corrupt_record"
 DATE = "landing_date"
-FILE = "path string, modificationTime timestamp, length bigint, content binary"
+ISO_DATE = re.compile(f"{DATE}=[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}")
 
 
 def landing_read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The latest landing under ``path/landing_date=.../``, bad records kept.
 
-    The latest date comes from the file listing, so older partitions are pruned
-    and never parsed. A record that does not fit the schema keeps its text in
+    The latest date is the greatest name among the folders at the top, so neither
+    older landings nor their files are listed. A landing that holds nothing, or
+    empty files only, is the latest all the same and has no rows, which the gate on
+    empty tables reports. A record that does not fit the schema keeps its text in
     ``_corrupt_record``.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .schema(f"{FILE}, {DATE} date")
-        .load(path)
-    )
-    landed = (
-        spark.read.schema(f"{schema}, {CORRUPT} string, {DATE} date")
+    full = f"{schema}, {CORRUPT} string, {DATE} date"
+    dates = [n for n in folder_names(spark, path) if ISO_DATE.fullmatch(n)]
+    if not dates:
+        return spark.createDataFrame([], full)
+    return (
+        spark.read.schema(full)
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
+        .option("basePath", path)
+        .json(f"{path.rstrip('/')}/{dates[-1]}")
     )
-    return landed.where(F.col(DATE) == listed.select(F.max(DATE)).scalar())
 
 
 def parse_payload(df: DataFrame, column: str, schema: str) -> DataFrame:

@@ -1,84 +1,106 @@
-"""Task log trees: ``dag_id=.../run_id=.../task_id=.../attempt=N.log``.
+"""Task log trees: ``dag_id=.../run_id=.../task_id=.../[more folders/]attempt=N.log``.
 
-The three folders are partition columns, matched exactly and pruned before any
-file is opened. Their types are given, so a run id that looks like a date stays text.
+The keys are read from a file's own path, whatever lies between its task folder
+and the file (``map_index=...`` of a mapped task, say), so one folder of another
+shape does not disturb the others. A file outside such folders is no task's log.
+``under`` narrows a reader to folders below the base, for example
+``dag_id=a/run_id=b``; folders beside them are not even listed.
 """
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-PARTITIONS = "dag_id string, run_id string, task_id string"
+from ..functions.fixed import LINE_ORDER  # noqa: F401  (the order of read_log_lines)
+from .folders import files_below
+
+LISTED = "path string, written_at timestamp, length bigint"
+
+
+def _plain(name: Column) -> Column:
+    """A folder name as it was given: once decoded as an address, once as Hive escapes it."""
+    decode = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    once = decode(name)
+    return F.coalesce(F.when(once.contains("%"), F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))), once)
+
+
+def _keys(path: Column) -> list[Column]:
+    part = lambda key: F.regexp_extract(path, f"/{key}=([^/]*)/", 1)
+    named = [F.when(part(k) != "", _plain(part(k))).alias(k) for k in ("dag_id", "run_id", "task_id")]
+    return [*named, F.when(part("map_index") != "", part("map_index")).try_cast("int").alias("map_index")]
 
 
 def _attempt(path: Column) -> Column:
     return F.regexp_extract(path, "attempt=([0-9]+)\\.log$", 1).try_cast("int")
 
 
-def list_attempts(spark: SparkSession, base: str) -> DataFrame:
-    """One row per log file from the file listing alone; no content is read.
+def _folders(base: str, under: Sequence[str] | None) -> list[str]:
+    return [f"{base.rstrip('/')}/{u.strip('/')}" for u in under] if under is not None else [base]
 
-    Spark's listing leaves files of length zero out, so an empty log counts as none.
+
+def _of_tasks(df: DataFrame) -> DataFrame:
+    return df.where("dag_id is not null and run_id is not null and task_id is not null")
+
+
+def list_attempts(spark: SparkSession, base: str, under: Sequence[str] | None = None) -> DataFrame:
+    """One row per log file from the listing alone, empty files included; no content is read.
+
+    The driver lists the folders ``under`` names, those of the runs asked about.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.log")
-        .schema(
-            "path string, modificationTime timestamp, length bigint, content binary, " + PARTITIONS
+    files = [
+        (path, datetime.datetime.fromtimestamp(ms / 1000, datetime.timezone.utc), length)
+        for folder in _folders(base, under)
+        for path, length, ms in files_below(spark, folder, ".log")
+    ]
+    listed = spark.createDataFrame(files, LISTED).withColumn("path", _address(F.col("path")))
+    return _of_tasks(
+        listed.select(
+            *_keys(F.col("path")), "path", _attempt(F.col("path")).alias("attempt"), "written_at", "length"
         )
-        .load(base)
     )
-    return files.select(
-        "dag_id",
-        "run_id",
-        "task_id",
-        F.col("_metadata.file_path").alias("path"),
-        _attempt(F.col("_metadata.file_path")).alias("attempt"),
-        F.col("_metadata.file_modification_time").alias("written_at"),
-        F.col("_metadata.file_size").alias("length"),
+
+
+def _reader(spark: SparkSession):
+    return (
+        spark.read.schema("value string")
+        .option("pathGlobFilter", "*.log")
+        .option("recursiveFileLookup", "true")
     )
 
 
-def read_log_lines(spark: SparkSession, base: str, where: Column | None = None) -> DataFrame:
+def _address(path: Column) -> Column:
+    """One spelling for the reader and the listing: no empty authority."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def read_log_lines(
+    spark: SparkSession, base: str, where: Column | None = None, under: Sequence[str] | None = None
+) -> DataFrame:
     """Lines of every log with their order, for files of any size.
 
     A big file is read in several splits. The split's offset and the row's place
     inside its task give the order within the file; no file is held whole. The
     place is not deterministic for Catalyst, which moves no filter below it, so a
-    filter that should prune folders is given as ``where``.
+    filter on the keys is given as ``where``, and folders are left out by ``under``.
     """
-    raw = (
-        spark.read.schema("value string, " + PARTITIONS)
-        .option("pathGlobFilter", "*.log")
-        .text(base)
+    raw = _reader(spark).text(_folders(base, under)).select(
+        "value", _address(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block_start")
     )
+    keyed = _of_tasks(raw.select("*", *_keys(F.col("path"))))
     if where is not None:
-        raw = raw.where(where)
-    return raw.select(
-        "dag_id",
-        "run_id",
-        "task_id",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("place"),
-        F.col("value").alias("line"),
+        keyed = keyed.where(where)
+    return keyed.select(
+        "dag_id", "run_id", "task_id", "map_index", "path", "block_start",
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"),
     )
 
 
-LINE_ORDER = ("block_start", "place")
-
-
-def read_log_texts(spark: SparkSession, base: str) -> DataFrame:
+def read_log_texts(spark: SparkSession, base: str, under: Sequence[str] | None = None) -> DataFrame:
     """One row per log file with its whole text, for logs that fit a row."""
-    raw = (
-        spark.read.schema("value string, " + PARTITIONS)
-        .option("pathGlobFilter", "*.log")
-        .text(base, wholetext=True)
-    )
-    return raw.select(
-        "dag_id",
-        "run_id",
-        "task_id",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("value").alias("text"),
+    raw = _reader(spark).text(_folders(base, under), wholetext=True).select(
+        _address(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")
     )
+    return _of_tasks(raw.select(*_keys(F.col("path")), "path", "text"))

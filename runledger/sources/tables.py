@@ -52,16 +52,37 @@ def register_external(
 
     A table that cannot be registered or counted gets a row with its error
     condition and does not hide the others, so each is its own small job: rows
-    are counted from the file footers, several tables at a time.
+    are counted from the file footers, several tables at a time. No data is ever
+    deleted: a name that is taken by a managed table, a view or a table of another
+    folder is an error row and stays as it is. An external table of the same folder
+    is only refreshed.
     """
 
+    def taken(table: str, path: str) -> str | None:
+        """Why the name cannot be used, or None."""
+        kinds = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+        if kinds.get("Type") != "EXTERNAL":
+            return "TABLE_NOT_EXTERNAL"
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+        def resolved(folder: str) -> str:
+            place = jvm.org.apache.hadoop.fs.Path(folder)
+            return place.getFileSystem(conf).makeQualified(place).toString().rstrip("/")
+
+        return None if resolved(kinds.get("Location", "")) == resolved(path) else "TABLE_OF_ANOTHER_FOLDER"
+
     def register(name: str) -> tuple[bool, int | None, str | None]:
         table = ".".join(f"`{p}`" for p in (database, f"{prefix}{name}") if p)
         location = paths[name].replace("\\", "\\\\").replace("'", "\\'")
         registered = False
         try:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
-            spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{location}'")
+            if spark.catalog.tableExists(table):
+                if reason := taken(table, paths[name]):
+                    return registered, None, reason
+                spark.sql(f"REFRESH TABLE {table}")
+            else:
+                spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{location}'")
             registered = True
             return registered, spark.table(table).count(), None
         except PySparkException as exc:

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def read_text_files(spark: SparkSession, base: str) -> DataFrame:
     """``(path, text)`` of every file below ``base`` that is text; the path starts below it.
 
-    A file that is not valid UTF-8 is no text and is left out.
+    A file that is not valid UTF-8 is no text and is left out. ``base`` is one
+    folder: below a glob there would be no one place for paths to start.
     """
+    if re.search(r"[*?\[{]", base):
+        raise ValueError(f"one folder, not a pattern: {base}")
     content = F.col("content").cast("string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     folder = re.sub("^[a-z0-9]+:/*", "", base).strip("/") + "/"

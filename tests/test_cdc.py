@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from runledger.operators.cdc import cdc_apply, latest_changes
+from runledger.operators.cdc import cdc_apply, latest_changes, repeated_changes
+from runledger.sources.topics import message_changes, readable, unreadable
 from runledger.streaming.cdc import STATE_STORE, cdc_stream, read_current
 from runledger.streaming.gates import counted, is_empty_batch, observe_rows
 
@@ -110,3 +112,33 @@ def test_rows_are_observed_without_a_second_pass(spark, tmp_path):
     batches = [p for p in query.recentProgress if p.numInputRows]
     assert batches and not is_empty_batch(batches[0], "landed")
     assert is_empty_batch(batches[0], "another")
+
+
+def test_equal_sequences_are_decided_alike_and_reported(spark):
+    kind = "k int, seq int, op string, v string, more map<string,int>"
+    changes = [(1, 5, "u", "a", {"x": 1}), (1, 5, "u", "b", {"x": 2}), (2, 1, "c", "c", None)]
+    results = set()
+    for order in (changes, changes[::-1]):
+        df = spark.createDataFrame(order, kind).coalesce(1)
+        results.add(tuple(sorted((r.k, r.v) for r in cdc_apply(df, ["k"], ["seq"]).collect())))
+        report = repeated_changes(df, ["k"], ["seq"]).collect()
+        assert [(r.gate, r.entity, r.detail) for r in report] == [("repeated_change", "k=1", "seq=5: 2 changes")]
+    assert results == {((1, "b"), (2, "c"))}
+
+
+def test_tombstones_delete_and_unreadable_messages_are_kept(spark):
+    raw = spark.createDataFrame(
+        [
+            ('{"k": 1}', '{"k": 1, "seq": 1, "op": "c", "v": "a"}', 10),
+            ('{"k": 2}', '{"k": 2, "seq": 2, "op": "c", "v": "b"}', 11),
+            ('{"k": 1}', None, 12),
+            ('{"k": 3}', "not json", 13),
+            (None, None, 14),
+            ("{", None, 15),
+        ],
+        "key string, value string, offset bigint",
+    ).select(F.col("key").cast("binary"), F.col("value").cast("binary"), "offset")
+    changes = message_changes(raw, "k int, seq bigint, op string, v string", ["k"])
+    live = cdc_apply(readable(changes), ["k"], ["seq"]).collect()
+    assert [(r.k, r.v) for r in live] == [(2, "b")]
+    assert sorted(r[0] for r in unreadable(changes).collect()) == ["", "not json", "{"]

@@ -1,9 +1,16 @@
 import collections
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from runledger.operators.compare import parity_check, snapshot_compare
+from runledger.operators.compare import (
+    SchemaDifference,
+    parity_check,
+    schema_differences,
+    snapshot_compare,
+)
 
 
 def test_every_status_of_a_snapshot(spark, rows):
@@ -52,3 +59,16 @@ def test_parity_counts_surplus_copies_per_side(spark):
 def test_a_table_equals_itself(spark):
     df = spark.range(1000).withColumn("m", F.col("id") % 7)
     assert parity_check(df, df.repartition(5)).isEmpty()
+
+
+def test_schemas_are_part_of_the_parity(spark):
+    left = spark.createDataFrame([(1,)], "x int")
+    for right in (
+        spark.createDataFrame([(1, 2)], "x int, extra int"),
+        spark.createDataFrame([("1",)], "x string"),
+        spark.createDataFrame([(1,)], "y int"),
+    ):
+        assert schema_differences(left, right) and schema_differences(right, left)
+        with pytest.raises(SchemaDifference):
+            parity_check(left, right)
+    assert schema_differences(left, left) == [] and parity_check(left, left).isEmpty()

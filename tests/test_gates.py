@@ -94,3 +94,21 @@ def test_a_kept_contract_has_no_rows(spark):
     df = spark.range(100).withColumn("s", F.lit("O"))
     contract = gates.Contract("t", {"id": "bigint"}, ("id",), ("id",), {"s": ["O"]})
     assert gates.contract_check(df, contract).isEmpty()
+
+
+def test_an_empty_requirement_needs_nothing(spark):
+    entities = spark.createDataFrame([("a", "api")], "entity string, kind string")
+    present = spark.createDataFrame([("k",)], "key string")
+    assert gates.required_keys(entities, {}, present).isEmpty()
+    assert gates.required_keys(entities, {"api": []}, present).isEmpty()
+
+
+def test_a_key_with_a_missing_column_is_one_violation(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2)], "a int, x int")
+    found = gates.contract_check(df, gates.Contract("t", {}, unique=("a", "b"))).collect()
+    assert [(r.entity, r.detail) for r in found] == [("t.b", "missing column: 1")]
+
+
+def test_one_row_settles_a_table(spark):
+    plan = gates.non_empty({"t": spark.range(100)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit 1" in plan

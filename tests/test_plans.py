@@ -6,14 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__
+from runledger.plans.oracle import ORACLE as SQL
+from runledger.plans.registry import QUERIES
 import oracle
 from conftest import TESTDATA
 from runledger.functions.ranking import top_per_group
 from runledger.operators import cdc, compare, gates, logs, runs, scan
 
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
 SF = f"{TESTDATA}/sf0.001"
 
 

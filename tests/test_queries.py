@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__
+from runledger.plans.oracle import ORACLE as SQL
+from runledger.plans.registry import QUERIES
 import oracle
 from conftest import TESTDATA
 
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +15,10 @@ def small():
     return oracle.connect(f"{TESTDATA}/sf0.001")
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(SQL)
+    assert QUERIES.items() <= __spark_entry__.queries().items()
+    assert SQL.items() <= __spark_entry__.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

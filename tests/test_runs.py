@@ -174,8 +174,33 @@ def test_verification_reads_the_adopted_run(spark, history, rows):
     dags = spark.createDataFrame(
         [("a", False, False, True), ("b", False, False, True), ("c", False, False, True)], DAGS
     )
-    assert rows(verify_dags(dags, history, timeout_s=5)) == [
-        ("a", "adopt", 1, "a2", "running", "no_verdict", False),
-        ("b", "refuse_busy", 4, None, None, None, False),
-        ("c", "trigger", 0, None, None, None, False),
-    ]
+    got = {r.dag_id: r for r in verify_dags(dags, history, timeout_s=5).collect()}
+    assert tuple(got["a"])[1:] == ("adopt", 1, "a2", "running", "no_verdict", False, None)
+    assert tuple(got["c"])[1:] == ("trigger", 0, None, None, None, False, None)
+    assert tuple(got["b"])[1:7] == ("refuse_busy", 4, None, None, None, False)
+    assert len(got["b"].because.split(", ")) == 3
+
+
+@pytest.mark.parametrize(
+    "state, waited, verdict, passed",
+    [("success", 9999, "success", True), ("failed", 1, "failed", False),
+     ("running", 9999, "no_verdict", False), ("running", 1, "pending", False),
+     (None, 9999, "no_verdict", False)],
+)
+def test_the_verdict_is_on_the_adopted_run_as_it_is_later(spark, history, state, waited, verdict, passed):
+    dags = spark.createDataFrame([("a", False, False, True)], DAGS)
+    later = history.withColumn(
+        "state", F.when(F.col("run_id") == "a2", F.lit(state)).otherwise("success")
+    ).withColumn("waited_s", F.lit(waited).cast(history.schema["waited_s"].dataType))
+    (row,) = verify_dags(dags, history, later, timeout_s=3600).collect()
+    assert (row.decision, row.adopted_run_id, row.verdict, row.passed) == ("adopt", "a2", verdict, passed)
+
+
+def test_a_refusal_says_why(spark, history):
+    dags = spark.createDataFrame([("x", False, True, False), ("y", False, False, False)], DAGS)
+    lines = spark.createDataFrame(
+        [("x", 1, "filepath | error"), ("x", 2, "dags/x.py | boom"), ("x", 3, "dags/x.py | again"), ("y", 4, "z")],
+        "dag_id string, line_no int, line string",
+    )
+    got = {r.dag_id: (r.decision, r.because) for r in verify_dags(dags, history, errors=lines).collect()}
+    assert got == {"x": ("parse_error", "dags/x.py | boom\ndags/x.py | again"), "y": ("absent", None)}

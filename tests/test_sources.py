@@ -6,6 +6,7 @@ from runledger.functions.money import cents
 from runledger.operators.gates import required_keys
 from runledger.operators.medallion import figures, publish_snapshot
 from runledger.operators.scan import Exemption, ScanRule, in_scope, term_scan
+from runledger.operators import gates
 from runledger.plans.acceptance import accept_run
 from runledger.session import scratch_dir
 from runledger.sources.landing import landing_read, landing_stream, latest_day, parse_payload
@@ -43,10 +44,40 @@ def test_only_the_latest_landing_is_read_and_bad_records_stay(spark, landing):
 
 def test_older_landings_are_pruned(spark, landing):
     df = landing_read(spark, landing, "id bigint, amount bigint").select("id")
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.splitlines() if "FileScan json" in line)
-    assert "PartitionFilters: [isnotnull(landing_date" in scan and "Subquery" in scan
+    files = df.inputFiles()
+    assert len(files) == 1 and "landing_date=2024-01-10" in files[0]
+
+
+def test_an_empty_newest_landing_is_not_hidden(spark, landing, tmp_path):
+    folder = tmp_path / "landing_date=2024-01-11"
+    folder.mkdir()
+    for files in ([], ["part.json"]):
+        for name in files:
+            (folder / name).write_text("")
+        latest = landing_read(spark, landing, "id bigint, amount bigint")
+        assert latest.columns == ["id", "amount", "_corrupt_record", "landing_date"]
+        broken = gates.non_empty({"feed": latest}).collect()
+        assert [(r.gate, r.entity) for r in broken] == [("non_empty", "feed")]
+    assert landing_read(spark, str(tmp_path / "nowhere"), "id bigint").isEmpty()
+
+
+def test_registering_never_deletes_data(spark, tmp_path):
+    spark.range(5).write.mode("overwrite").saveAsTable("kept_managed")
+    spark.range(6).write.parquet(str(tmp_path / "one"))
+    spark.range(7).write.parquet(str(tmp_path / "two"))
+    spark.range(1).createOrReplaceTempView("kept_view")
+    try:
+        assert register_external(spark, {"kept_ext": str(tmp_path / "one")}).first().n_rows == 6
+        spark.range(6, 9).write.mode("append").parquet(str(tmp_path / "one"))
+        paths = {"kept_managed": str(tmp_path / "missing"), "kept_ext": str(tmp_path / "two")}
+        got = {r.table_name: (r.registered, r.error) for r in register_external(spark, paths).collect()}
+        assert got == {"kept_managed": (False, "TABLE_NOT_EXTERNAL"), "kept_ext": (False, "TABLE_OF_ANOTHER_FOLDER")}
+        assert spark.table("kept_managed").count() == 5
+        again = register_external(spark, {"kept_ext": str(tmp_path / "one")}).first()
+        assert (again.registered, again.n_rows) == (True, 9)
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_managed")
+        spark.sql("DROP TABLE IF EXISTS kept_ext")
 
 
 def test_the_landing_is_also_a_stream(spark, landing, tmp_path_factory):
