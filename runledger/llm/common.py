@@ -31,6 +31,18 @@ def kept_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(rows: DataFrame, keys: list[str], n: int, total: int) -> DataFrame:
+    """About ``n`` of ``total`` rows, chosen by the hash of their keys, never over 2 n.
+
+    Each task keeps its own share, so what reaches the driver is bounded whatever
+    the number of tasks; a sorted limit would send n rows from each of them.
+    """
+    if total <= n:
+        return rows
+    share = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 40))
+    return rows.where(share < int((1 << 40) * n / total)).limit(2 * n)
+
+
 def text_hash(text: str = "text") -> Column:
     """Tells rows of one id apart by their text; NULL counts as empty."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
