@@ -7,7 +7,7 @@ falls a learned margin below the score that its last wanted neighbour should
 reach. All entries of the cells seen are reranked by their inner product.
 
 Centroids, the wanted score and the margin come from one bounded sample
-(``SAMPLE`` vectors, the smallest by hash of id); every vector is indexed. A
+(``SAMPLE`` vectors, chosen by hash); every vector is indexed. A
 query goes on past its stop until its cells hold at least ``wanted`` entries.
 
 Defined cases: vectors that are NULL, all zero, hold NULL or non-finite
@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import kept_table
+from .common import hash_sample, kept_table
 
 WANTED = 20
 EVERY = 20
@@ -118,14 +118,16 @@ class Codebook:
 
 def fit(rows: DataFrame, total: int, wanted: int = WANTED, target: float = TARGET) -> Codebook:
     """Centroids, and the margin under which ``target`` of the sample's own neighbours are met."""
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()
+    taken = hash_sample(rows, ["vec_id", "v"], SAMPLE, total).toPandas()
+    taken = taken.iloc[sorted(range(len(taken)), key=lambda k: (taken["vec_id"][k], list(taken["v"][k])))]
     sample, ids = np.array(taken["v"].tolist(), float), taken["vec_id"].to_numpy()
     k = min(len(sample), MAX_CENTROIDS, max(4, 2 ** round(math.log2(math.sqrt(total / 50) + 1))))
     half = sample.shape[1] // 2
     book = Codebook(
         kmeans(sample[:, :half].copy(), k), kmeans(sample[:, half:].copy(), k), sample, ids, max(1, math.ceil(wanted * len(sample) / total))
     )
-    probe, probe_ids = sample[:CALIBRATION], ids[:CALIBRATION]
+    chosen = np.sort(np.random.RandomState(3).permutation(len(sample))[:CALIBRATION])
+    probe, probe_ids = sample[chosen], ids[chosen]
     goals = book.goals(probe, probe_ids)
     scores = probe @ sample.T
     scores[probe_ids[:, None] == ids[None, :]] = -np.inf
