@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     both = kept_table(
         links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct().toDF("node", "near"), "links"
     )
-    labels = kept_table(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "labels")
+    labels = both.groupBy("node").agg(F.least("node", F.min("near")).alias("label"))
     while True:
         around = (
             both.join(labels.select(F.col("node").alias("near"), F.col("label").alias("seen")), "near")

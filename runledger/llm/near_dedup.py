@@ -151,7 +151,7 @@ def _pairs(members: DataFrame, least: float, agree: int, pivots: int) -> DataFra
     """
     wide, narrow = members.where(~F.col("narrow")), members.where("narrow")
     side = lambda df, n: df.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "weight", "bands", "label")])
-    pivot = kept_table(side(top_per_group(wide, ["bucket"], [F.desc("fame"), F.asc("node")], pivots), 2), "pivots")
+    pivot = side(top_per_group(wide, ["bucket"], [F.desc("fame"), F.asc("node")], pivots), 2)
     found = side(wide, 1).join(pivot, "bucket").unionByName(
         side(narrow, 1).join(side(narrow, 2), "bucket").where("node_1 < node_2")
     )
@@ -167,8 +167,10 @@ def _relabelled(labels: DataFrame | None, near: DataFrame) -> DataFrame:
     """node, label after new links; only the links between labels are followed."""
     if labels is None:
         return components(near)
+    if near.isEmpty():
+        return labels
     ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    held = kept_table(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "labels")
+    held = labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
     of = lambda end: held.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
     between = near.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a != b").distinct()
     merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
@@ -222,7 +224,6 @@ def near_classes(
         links = near if links is None else links.union(near)
         labels = _relabelled(labels, near)
         now = members.where(~F.col("narrow")).drop("label", "narrow").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        now = kept_table(now, "labelled")
         still_open = (
             now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
             .where("low < high").select("bucket", (F.col("size") <= small).alias("narrow"))
