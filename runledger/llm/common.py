@@ -31,6 +31,15 @@ def kept_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most_rows: int = 400_000) -> DataFrame:
+    """``df``, broadcast if its rows are counted and few; a few numbers each make some ten MB at most.
+
+    Meant for written tables of numbers, which are counted from their footers.
+    Beyond that Spark chooses, and shuffles both sides.
+    """
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def hash_sample(rows: DataFrame, keys: list[str], n: int, total: int) -> DataFrame:
     """About ``n`` of ``total`` rows, chosen by the hash of their keys, never over 2 n.
 

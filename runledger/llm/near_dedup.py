@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranking import top_per_group
-from .common import kept_table, slices
+from .common import kept_table, slices, small_side
 from .components import components
 from .weighted_minhash import Sampler, Shingler, similarity, weights_of, word_hash, words_of
 
@@ -193,21 +193,24 @@ def near_classes(
     named = kept_table(
         signed.drop("bands").join(known, "digest", "left").withColumn("node", F.coalesce("node", "rid")), "named"
     )
-    # One row per text and band: the signature of the row that names it.
-    own = signed.join(known, "digest").where("rid = node").select("node", "weight", "bands").dropDuplicates(["node"])
-    members = kept_table(own.select("node", "weight", "bands", F.posexplode("bands").alias("band", "key")), "members")
+    # One row per text, the signature of the row that names it; and one per text and band.
+    own = kept_table(
+        signed.join(known, "digest").where("rid = node").select("node", "weight", "bands").dropDuplicates(["node"]), "own"
+    )
+    members = own.select("node", F.posexplode("bands").alias("band", "key"))
     crowd = kept_table(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
-    members = members.join(crowd, ["band", "key"])
+    members = kept_table(members.join(crowd, ["band", "key"]), "members")
     # Texts that share fewer bands than a pair has to agree in have no pair.
     popular = kept_table(
         members.groupBy("node").agg(F.sum("n").alias("fame"), F.count("*").alias("shared")).where(F.col("shared") >= agree).drop("shared"), "fame"
     )
     # Candidates' texts, once, whatever the number of their pairs.
     texts = kept_table(
-        rows.select(F.col("rid").alias("node"), "text").join(popular.select("node"), "node", "left_semi").dropDuplicates(["node"]), "candidates"
+        rows.select(F.col("rid").alias("node"), "text").join(small_side(popular.select("node")), "node", "left_semi").dropDuplicates(["node"]),
+        "candidates",
     )
     members = kept_table(
-        members.join(popular, "node").select(
+        members.join(popular, "node").join(own, "node").select(
             "node", "weight", "fame", "bands", "band", F.xxhash64("band", "key").alias("bucket"), F.lit(False).alias("narrow"), F.col("node").alias("label")
         ),
         "buckets",
@@ -218,6 +221,7 @@ def near_classes(
         pairs = _pairs(members, least, agree, PIVOTS if used else 1)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = small_side(kept_table(pairs, "pairs"))
         measured = kept_table(_compared(pairs, texts, frequencies), "compared")
         near = measured.where((F.col("similarity") >= least) | (F.col("plain") >= least)).select("a", "b")
         done = measured if done is None else done.union(measured)
