@@ -23,14 +23,20 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach, for tables written between two jobs.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``. Only a
-    ``local[...]`` session may fall back to a folder of this machine.
+    ``local[...]`` session may fall back to a folder of this machine. What is
+    written there is removed when the session's JVM ends, not before: frames that
+    read it are lazy.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_base()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return f"{base.rstrip('/')}/{folder.getName()}/t"
 
 
 def local_session(app: str, cpus: str = "8", **conf: str) -> SparkSession:
