@@ -66,13 +66,13 @@ def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each piece holds about SLICE_BYTES of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each piece holds about ``size_bytes`` of text, or one row."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if held and held + size > SLICE_BYTES:
+            if held and held + size > size_bytes:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(size)

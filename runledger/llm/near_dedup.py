@@ -57,6 +57,7 @@ AGREE = 2
 PIVOTS = 4
 RARE = 0.01
 SMALL = 64
+SLICE = 3 << 20
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def signatures(rows: DataFrame, frequencies, bands: int, rows_per_band: int) ->
 
     def signed(batches):
         shingles, sample = Shingler(*frequencies), Sampler(bands, rows_per_band)
-        for batch in slices(batches):
+        for batch in slices(batches, size_bytes=SLICE):
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
             keys, levels, counts = shingles(texts)
             owner = np.repeat(np.arange(len(texts)), counts)

@@ -38,7 +38,8 @@ from .common import slices
 from .merging import PairTable, merge
 
 SPACE = "▁"
-REMEMBERED = 800_000
+REMEMBERED = 300_000
+SLICE = 4 << 20
 LONG = 256
 #: Symbols from here on stand for characters that are no piece.
 BARE = 1 << 21
@@ -261,7 +262,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
     def encoded(batches):
         tool = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, size_bytes=SLICE):
             ids, begins, ends = [], [], []
             for own, origin in tool.encode(batch.column("text").to_pylist()):
                 ids.append(own)
@@ -283,7 +284,7 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
     def digested(batches):
         tool = encoder(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for batch in slices(batches):
+        for batch in slices(batches, size_bytes=SLICE):
             counts, of_ids, of_texts, covered = [], [], [], []
             for own, origin in tool.encode(batch.column("text").to_pylist()):
                 begin, end = tool.spans(own, origin)
