@@ -15,14 +15,17 @@
    reaches ``SIMILARITY``, or when the same shingles do without their weights, so
    that weighting never loses a copy. Classes are the connected components.
 4. Buckets that still hold several classes go on: up to ``SMALL`` texts, every
-   pair of different classes is compared; larger ones are divided by the numbers
-   of the next band, then the next two, four and so on, until none is left. Each
-   text is thus compared a bounded number of times per band, whatever the size
-   of its group.
-
-Only pairs that agree in ``AGREE`` bands or more are compared: of similarity s,
-each band agrees with probability s**ROWS, so 0.997 of the pairs at 0.8 are, and
-0.9998 at 0.86; of pairs at 0.3, which share a passage, 0.008.
+   pair of different classes is compared; the texts of larger ones are compared
+   with ``PIVOTS`` texts of the bucket, and after that joined by their rarest
+   shingles (:func:`_exact_pairs`), which finds every pair of two classes that
+   reaches ``SIMILARITY``, whatever the size of its group. A common shingle joins
+   as many pairs as its texts allow only where their weights from it on can reach
+   the similarity, so siblings whose own parts rule it out cost no comparison.
+
+In buckets of up to ``SMALL`` texts, pairs that agree in ``AGREE`` bands or more
+are compared: of similarity s, each band agrees with probability s**ROWS, so
+0.997 of the pairs at 0.8 are, and 0.9998 at 0.86; of pairs at 0.3, which share
+a passage, 0.008.
 
 Defined cases: NULL texts and texts without words are no one's copy; texts of
 fewer than five words are compared whole; rows of one doc_id are one document;
@@ -58,6 +61,8 @@ PIVOTS = 4
 RARE = 0.01
 SMALL = 64
 SLICE = 3 << 20
+SLOTS = 1 << 18
+SLACK = 1e-6
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -164,6 +169,71 @@ def _pairs(members: DataFrame, least: float, agree: int, pivots: int) -> DataFra
     )
 
 
+def _slot_counts(texts: DataFrame, frequencies) -> np.ndarray:
+    """How many shingles of all ``texts`` fall into each of ``SLOTS`` slots."""
+
+    def counted(batches):
+        shingles, seen = Shingler(*frequencies), np.zeros(SLOTS, np.int64)
+        for batch in slices(batches, size_bytes=SLICE):
+            keys, _, _ = shingles([words_of(t) for t in batch.column("text").to_pylist()])
+            seen += np.bincount((keys % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], names=["slot", "n"])
+
+    held = texts.select("text").mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[held["slot"].to_numpy()] = held["n"].to_numpy()
+    return out
+
+
+def _exact_pairs(open_nodes: DataFrame, texts: DataFrame, frequencies, least: float) -> DataFrame:
+    """a, b: of the texts of ``open_nodes`` (node, label) every pair of two classes that can reach ``least``.
+
+    Shingles have one order for all texts, rare ones first. Two texts that reach
+    ``least`` share a shingle among the first of each, up to 1 - ``least`` of its
+    weight, and from their first shared shingle on both must hold as much as the
+    similarity needs; the same holds of numbers of shingles instead of weights.
+    That is so for any order; the counts by slot only make the lists short.
+    """
+    open_texts = kept_table(texts.join(small_side(open_nodes), "node"), "open-texts")
+    slots = _slot_counts(open_texts, frequencies)
+
+    def first(batches):
+        shingles = Shingler(*frequencies)
+        for batch in slices(batches, size_bytes=SLICE):
+            keys, levels, counts = shingles([words_of(t) for t in batch.column("text").to_pylist()])
+            owner = np.repeat(np.arange(len(counts)), counts)
+            seen = slots[(keys % np.uint64(SLOTS)).astype(np.int64)]
+            order = np.lexsort((keys, seen, owner))
+            keys, seen, weight = keys[order], seen[order], weights_of(levels[order])
+            total = np.bincount(owner, weight, len(counts))
+            upto, start = np.cumsum(weight), np.cumsum(counts) - counts
+            left = total[owner] - (upto - weight - np.append(0.0, upto)[start][owner])
+            many = counts[owner] - (np.arange(len(keys)) - start[owner])
+            # A slot of one shingle holds no shared one.
+            taken = np.flatnonzero(((left >= least * total[owner] - SLACK) | (many >= least * counts[owner] - SLACK)) & (seen > 1))
+            whose = owner[taken]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys[taken].view(np.int64)), batch.column("node").take(pa.array(whose)), batch.column("label").take(pa.array(whose)),
+                    pa.array(left[taken]), pa.array(total[whose]), pa.array(many[taken].astype(np.int32)), pa.array(counts[whose].astype(np.int32)),
+                ],
+                names=["key", "node", "label", "left", "weight", "many", "shingles"],
+            )
+
+    listed = kept_table(open_texts.mapInArrow(first, "key long, node long, label long, left double, weight double, many int, shingles int"), "prefixes")
+    side = lambda n: listed.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "label", "left", "weight", "many", "shingles")])
+    enough = lambda held, whole: (
+        F.least(f"{held}_1", f"{held}_2") >= least / (1 + least) * (F.col(f"{whole}_1") + F.col(f"{whole}_2")) - SLACK
+    )
+    return (
+        side(1).join(side(2).hint("merge"), "key")
+        .where((F.col("node_1") < F.col("node_2")) & (F.col("label_1") != F.col("label_2")) & (enough("left", "weight") | enough("many", "shingles")))
+        .select(F.col("node_1").alias("a"), F.col("node_2").alias("b"))
+        .distinct()
+    )
+
+
 def _relabelled(labels: DataFrame | None, near: DataFrame) -> DataFrame:
     """node, label after new links; only the links between labels are followed."""
     if labels is None:
@@ -217,9 +287,11 @@ def near_classes(
         "buckets",
     )
     done = links = labels = None
-    used, step = 0, 1  # bands by which buckets were divided, and by how many next
-    while True:
-        pairs = _pairs(members, least, agree, PIVOTS if used else 1)
+    for turn in range(3):
+        if turn < 2:
+            pairs = _pairs(members, least, agree, PIVOTS if turn else 1)
+        else:
+            pairs = _exact_pairs(members.select("node", "label").distinct(), texts, frequencies, least)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = small_side(kept_table(pairs, "pairs"))
@@ -228,17 +300,16 @@ def near_classes(
         done = measured if done is None else done.union(measured)
         links = near if links is None else links.union(near)
         labels = _relabelled(labels, near)
+        if turn == 2:
+            break
         now = members.where(~F.col("narrow")).drop("label", "narrow").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         still_open = (
             now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
             .where("low < high").select("bucket", (F.col("size") <= small).alias("narrow"))
         )
-        following = [F.element_at("bands", ((F.col("band") + F.lit(used + k)) % bands + 1).cast("int")) for k in range(1, step + 1)]
-        bucket = F.when(F.col("narrow"), F.col("bucket")).otherwise(F.xxhash64("bucket", *following))
-        members = kept_table(now.join(still_open, "bucket").withColumn("bucket", bucket), "buckets")
-        if used >= bands or members.isEmpty():
+        members = kept_table(now.join(still_open, "bucket"), "buckets")
+        if members.isEmpty():
             break
-        used, step = used + step, 2 * step
     classes = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     figures = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))

@@ -176,6 +176,24 @@ def test_planted_copies_in_large_groups_and_clean_documents(make):
     assert kept == {c["class_id"] for c in found.values()}
 
 
+def test_near_copies_among_many_siblings(make):
+    pick, rows, planted = random.Random(9), [], []
+    shingle, sample = Shingler(np.zeros(0, np.uint64), np.zeros(0), 0.0), Sampler(2, 1)
+    template = prose(1, 150)
+    for i in range(500):  # siblings about 0.65 alike, which share their buckets
+        rows.append((i, " ".join(template + prose(1000 + i, 34))))
+    for i in range(40):
+        words = rows[i][1].split()
+        rows.append((1000 + i, " ".join(edited(words, 4, pick))))
+        numbers = sample(*shingle([words_of(rows[i][1]), words_of(rows[-1][1])]))
+        if jaccard(rows[i][1], rows[-1][1]) >= 0.8 and (numbers[0] == numbers[1]).any():
+            planted.append(i)
+    assert len(planted) >= 20 and 0.6 < jaccard(rows[0][1], rows[1][1]) < 0.7
+    found = {r["doc_id"]: r["class_id"] for r in near_classes(make(rows), rare=1.0, bands=2, rows_per_band=1, agree=1, small=8).collect()}
+    assert [i for i in planted if found[1000 + i] != i] == []
+    assert all(found[i] == i for i in range(500))
+
+
 def test_odd_rows_of_classes(make):
     same = " ".join(prose(1, 60))
     rows = [(1, None), (2, ""), (9, " \n"), (3, same), (3, same), (8, same.upper()), (None, same), (4, "two words"), (5, "Two  words"), (6, "x " * 30_000), (None, "alone here")]
