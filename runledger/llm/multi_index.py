@@ -8,7 +8,7 @@ reach. All entries of the cells seen are reranked by their inner product.
 
 Centroids, the wanted score and the margin come from one bounded sample
 (``SAMPLE`` vectors, chosen by hash); every vector is indexed. A
-query goes on past its stop until its cells hold at least ``wanted`` entries.
+query goes on past its stop until its cells hold at least ``wanted`` ids.
 
 Defined cases: vectors that are NULL, all zero, hold NULL or non-finite
 components, or have another length than most take no part; ties go to the
@@ -91,11 +91,18 @@ class Codebook:
         scores = vectors @ self.sample.T
         scores[ids[:, None] == self.ids[None, :]] = -np.inf
         k = min(self.wanted_in_sample, scores.shape[1])
+        starts = np.flatnonzero(np.append(True, self.ids[1:] != self.ids[:-1]))  # rows of one id follow each other
+        if len(starts) < len(self.ids):
+            scores = np.maximum.reduceat(scores, starts, axis=1)
+        k = min(k, scores.shape[1])
         goals = np.partition(scores, -k, axis=1)[:, -k]
         return np.where(np.isfinite(goals), goals, -np.inf)
 
-    def walk(self, vector: np.ndarray, goal: float, counts: dict[int, int], wanted: int, own: int):
-        """Cells with entries from the best pair of centroids down, to the stop."""
+    def walk(self, vector: np.ndarray, goal: float, counts: dict[int, int], ids: dict[int, int], wanted: int, own: int):
+        """Cells with entries from the best pair of centroids down, to the stop.
+
+        ``ids`` has how many ids have all their rows in a cell, so none is counted twice.
+        """
         one, two = self.first @ vector[: self.half], self.second @ vector[self.half :]
         by_one, by_two = np.argsort(-one, kind="stable"), np.argsort(-two, kind="stable")
         one, two = one[by_one].tolist(), two[by_two].tolist()
@@ -107,7 +114,7 @@ class Codebook:
                 return
             cell = by_one[i] * width + by_two[j]
             if cell in counts:
-                held += counts[cell] - (cell == own)
+                held += ids.get(cell, 0) - (cell == own)
                 yield cell
             # Each pair has one way in: along the second order, or from the head of the row above.
             if j + 1 < len(two):
@@ -163,8 +170,12 @@ def _best(key, entries: pa.Table, queries: pa.Table, wanted: int):
             continue
         scores = asking[who] @ vectors[mine].T
         scores[asked[who][:, None] == ids[mine][None, :]] = -np.inf
-        if scores.shape[1] > wanted:  # rounding differs by place, so what is near the last is kept as well
-            last = np.partition(scores, -wanted, axis=1)[:, -wanted]
+        by_id = np.argsort(ids[mine], kind="stable")
+        named = ids[mine][by_id]
+        starts = np.flatnonzero(np.append(True, named[1:] != named[:-1]))
+        best = np.maximum.reduceat(scores[:, by_id], starts, axis=1) if len(starts) < len(named) else scores
+        if best.shape[1] > wanted:  # rounding differs by place, so what is near the last is kept as well
+            last = np.partition(best, -wanted, axis=1)[:, -wanted]
             keep = scores >= (last - 1e-9 * (1 + np.abs(last)))[:, None]
         else:
             keep = np.ones(scores.shape, bool)
@@ -177,10 +188,12 @@ def _best(key, entries: pa.Table, queries: pa.Table, wanted: int):
     for a in range(0, len(q), 1 << 16):
         found_s.append((asking[q[a : a + (1 << 16)]] * vectors[e[a : a + (1 << 16)]]).sum(1))
     score = np.concatenate(found_s) if found_s else np.zeros(0)
-    order = np.lexsort((ids[e], -score, q))
+    order = np.lexsort((-score, ids[e], q))
     q, e, score = q[order], e[order], score[order]
     fresh = np.append(True, (q[1:] != q[:-1]) | (ids[e][1:] != ids[e][:-1])) if len(q) else np.zeros(0, bool)
     q, e, score = q[fresh], e[fresh], score[fresh]
+    order = np.lexsort((ids[e], -score, q))
+    q, e, score = q[order], e[order], score[order]
     starts = np.searchsorted(q, q)
     top = np.arange(len(q)) - starts < wanted
     return pa.table({"query_id": asked[q[top]], "vec_id": ids[e[top]], "score": score[top]}, schema=schema)
@@ -189,7 +202,7 @@ def _best(key, entries: pa.Table, queries: pa.Table, wanted: int):
 def nearest_neighbours(table: DataFrame, every: int = EVERY, wanted: int = WANTED, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found for each vector whose id ``every`` divides."""
     spark = table.sparkSession
-    rows = valid_vectors(table)
+    rows = kept_table(valid_vectors(table).dropDuplicates(["vec_id", "v"]), "vectors")
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -204,6 +217,8 @@ def nearest_neighbours(table: DataFrame, every: int = EVERY, wanted: int = WANTE
 
     index = kept_table(rows.mapInArrow(placed, "vec_id long, v array<double>, cell int"), "multi-index")
     counts = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}
+    spread = index.groupBy("vec_id").agg(F.min("cell").alias("cell"), F.max("cell").alias("last"))
+    held_ids = {r["cell"]: r["count"] for r in spread.where("cell = last").groupBy("cell").count().collect()}
     # Buckets of about BLOCK entries: small cells in a row share one, a large one has several of its own.
     first, parts, bucket, held = {}, {}, 0, 0
     for cell, n in sorted(counts.items()):
@@ -225,7 +240,7 @@ def nearest_neighbours(table: DataFrame, every: int = EVERY, wanted: int = WANTE
             goals = np.concatenate([book.goals(vectors[a : a + 256], ids[a : a + 256]) for a in range(0, len(ids), 256)]) if len(ids) else []
             for k in range(len(ids)):
                 per = {}
-                for cell in book.walk(vectors[k], goals[k], counts, wanted, own[k]):
+                for cell in book.walk(vectors[k], goals[k], counts, held_ids, wanted, own[k]):
                     for part in range(parts[cell]):
                         per.setdefault(first[cell] + part, []).append(cell)
                 where += [k] * len(per)

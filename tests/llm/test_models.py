@@ -112,6 +112,26 @@ def test_ties_repeats_and_vectors_that_take_no_part(spark):
     assert nearest_neighbours(table.limit(0)).collect() == []
 
 
+def test_repeated_rows_take_no_places(spark):
+    random_ = np.random.RandomState(4)
+    rows = [(i, random_.randn(4).tolist()) for i in range(400)]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = lambda rows: sorted(map(tuple, nearest_neighbours(frame(rows), target=1.0).collect()))
+    assert found(rows + rows) == found(rows)
+    # One id of many vectors is one neighbour, by its best.
+    crowd = [(401, [3.0 + k / 100, 3.0, 3.0, 3.0]) for k in range(60)] + [(i, (2.5 + random_.rand(4)).tolist()) for i in range(402, 440)]
+    several = rows + crowd
+    ids, vectors = np.array([i for i, _ in several]), np.array([v for _, v in several])
+    expected = []
+    for q in (420, 0):
+        best = {}
+        for i, score in zip(ids.tolist(), (vectors @ vectors[ids.tolist().index(q)]).tolist()):
+            best[i] = max(score, best.get(i, score))
+        expected.append([i for i in sorted(best, key=lambda i: (-best[i], i)) if i != q][:20])
+    got = found(several)
+    assert [[i for query, _, i, _ in got if query == q] for q in (420, 0)] == expected
+
+
 # Language model
 
 
