@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_dedup, line_rules, lm_scoring, mixing, multi_index, near_dedup, piece_spans, rule_ensemble, token_counts
+from . import (
+    chat_format,
+    chunk_dedup,
+    line_rules,
+    lm_scoring,
+    mixing,
+    multi_index,
+    near_dedup,
+    periodic_runs,
+    piece_spans,
+    rule_ensemble,
+    simhash,
+    target_resampling,
+    token_counts,
+)
 
 QUERIES = {
     fn.__name__: fn
@@ -17,9 +31,12 @@ QUERIES = {
         chat_format.op8_chat_format,
         line_rules.op9_line_rules,
         mixing.op10_mixing,
+        target_resampling.op11_importance_resampling,
+        simhash.op12_simhash,
+        periodic_runs.op13_periodic_runs,
     )
 }
 
-#: No query here has SQL: hashes, tokenizers and fitted models have no counterpart
+#: The other queries have no SQL: hashes, tokenizers and fitted models have no counterpart
 #: in DuckDB. tests/llm compares each with a brute-force version instead.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_importance_resampling": target_resampling.ORACLE_SQL}
