@@ -259,6 +259,20 @@ SELECT dag_id, run_id, task_id, attempt_id,
        CASE WHEN state IN ('running', 'queued', 'scheduled', 'deferred') THEN 'failed'
             ELSE state END AS state
 FROM task_instance WHERE dag_id IN ('dag_1', 'dag_3')""",
+    "end_dags": f"""
+WITH {F2}, {F3},
+asked AS (SELECT unnest(['dag_1', 'dag_3', 'dag_4', 'dag_7', 'dag_13', 'dag_100']) AS asked_id)
+SELECT dag_id, run_id, task_id,
+       CASE WHEN asked_id IS NOT NULL AND state IN ('running', 'queued', 'scheduled', 'deferred')
+            THEN 'failed' ELSE state END AS state,
+       CAST(NULL AS TIMESTAMP) AS end_date
+FROM task_instance LEFT JOIN asked ON asked_id = dag_id
+UNION ALL
+SELECT dag_id, run_id, NULL,
+       CASE WHEN asked_id IS NOT NULL AND state IN ('running', 'queued') THEN 'failed' ELSE state END,
+       CASE WHEN asked_id IS NOT NULL AND state IN ('running', 'queued')
+            THEN TIMESTAMP '2024-02-01 00:00:00' END
+FROM dag_run LEFT JOIN asked ON asked_id = dag_id""",
     "single_owner": """
 WITH member AS (
   SELECT o_custkey, count(*) AS n, min(o_orderkey) AS one FROM orders
@@ -278,6 +292,19 @@ WITH {F2}, {F6}
 SELECT t.dag_id, t.run_id, t.task_id, t.attempt_id, d.line_no,
        CASE WHEN d.doc_id IS NULL THEN '(no log file for this task)' ELSE d.line END AS line
 FROM task_instance t LEFT JOIN doc_tail d ON d.doc_id = t.attempt_id
+WHERE t.state = 'failed'""",
+    "log_tree_report": f"""
+WITH {F2}, {F6},
+file AS (
+  SELECT dag_id, run_id, task_id, max(attempt_id) AS attempt_id
+  FROM task_attempt JOIN documents ON doc_id = attempt_id GROUP BY dag_id, run_id, task_id),
+said AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line_no, line FROM doc_tail)
+SELECT t.dag_id, t.run_id, t.task_id, f.attempt_id, d.line_no,
+       CASE WHEN f.attempt_id IS NULL THEN '(no log file for this task)' ELSE d.line END AS line
+FROM task_instance t
+     LEFT JOIN file f ON f.dag_id = t.dag_id AND f.run_id = t.run_id AND f.task_id = t.task_id
+     LEFT JOIN said d ON d.doc_id = f.attempt_id
 WHERE t.state = 'failed'""",
     "failed_run_report": f"""
 WITH {F2}, {F6},

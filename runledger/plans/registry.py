@@ -14,9 +14,11 @@ from ..session import scratch_dir
 from ..sources import fixtures as fx
 from ..sources.landing import landing_read, latest_day, parse_payload
 from ..sources.tables import read_table, register_external as register
+from ..sources.versions import open_version
 from ..streaming.cdc import cdc_stream as start_cdc_stream, read_current
 from .acceptance import accept_run, publish_and_read
-from .verify import failed_run_report as report_failed_runs, verify_dags as verify
+from .ending import RUNS, TASKS, end_dags as end_jointly, publish_history
+from .verify import failed_run_report as report_failed_runs, tree_failure_report, verify_dags as verify
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,6 +121,19 @@ def end_tasks_of_dags(spark, sf):
     return runs.fail_in_flight_tasks(tasks, wanted)
 
 
+@query
+def end_dags(spark, sf):
+    """Tasks and runs of some DAGs ended by one commit; both tables as a reader sees them after it."""
+    base = scratch_dir(spark, "history")
+    history = fx.dag_run(spark, sf).withColumn("end_date", F.lit(None).cast("timestamp_ntz"))
+    publish_history(spark, base, fx.task_instance(spark, sf), history)
+    end_jointly(spark, base, [f"dag_{i}" for i in (1, 3, 4, 7, 13, 100)], F.lit(AS_OF).cast("timestamp_ntz"))
+    seen = open_version(spark, base)
+    tasks = seen.read(spark, TASKS).select("dag_id", "run_id", "task_id", "state")
+    ended = seen.read(spark, RUNS).select("dag_id", "run_id", "state", "end_date")
+    return tasks.unionByName(ended, allowMissingColumns=True)
+
+
 @query
 def single_owner(spark, sf):
     """Customers as bundles; their urgent open orders as the files in them."""
@@ -163,6 +178,16 @@ def failure_report(spark, sf):
     )
 
 
+@query
+def log_tree_report(spark, sf):
+    """The report from log files: listed by tasks, the newest attempt with a file read from its end."""
+    base = scratch_dir(spark, "logs")
+    fx.write_log_tree(spark, sf, base)
+    report = tree_failure_report(spark, fx.task_instance(spark, sf), base, n=3, written_at="attempt", tie="path")
+    attempt = F.regexp_extract("path", "attempt=([0-9]+)", 1).cast("bigint")
+    return report.select("dag_id", "run_id", "task_id", attempt.alias("attempt_id"), "line_no", "line")
+
+
 @query
 def failed_run_report(spark, sf):
     files = fx.doc_text(spark, sf).withColumnRenamed("doc_id", "attempt_id")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import FAILED_LABEL, LOG_TAIL_LINES, VERDICT_TIMEOUT_S
-from ..operators.logs import import_error_lines, last_words
-from ..operators.runs import in_flight_runs, run_decision, run_verdict, unfinished_tasks
+from ..operators.logs import TASK_KEYS, import_error_lines, last_words, newest_attempt
+from ..operators.runs import failed_tasks, in_flight_runs, run_decision, run_verdict, unfinished_tasks
+from ..session import scratch_dir
+from ..sources.logs import list_attempts, read_log_tails
 
 
 def verify_dags(
@@ -80,3 +84,26 @@ def failed_run_report(
     return last_words(
         tasks.drop("state"), attempts, tails, file_key, written_at, tie, asked=asked, n=n
     )
+
+
+def tree_failure_report(
+    spark: SparkSession,
+    ti: DataFrame,
+    base: str,
+    under: Sequence[str] | None = None,
+    n: int = LOG_TAIL_LINES,
+    written_at: str = "written_at",
+    tie: str = "attempt",
+) -> DataFrame:
+    """The failure report straight from a log tree: what every failed task said last.
+
+    Tasks list the tree; the newest file of each failed task is chosen from the
+    listing, written down, and read from its end. Nothing else is opened. A task whose
+    newest log is empty is a row without a line.
+    """
+    failed = failed_tasks(ti)
+    attempts = list_attempts(spark, base, under).join(failed, list(TASK_KEYS), "left_semi")
+    path = scratch_dir(spark, "newest-logs")
+    newest_attempt(attempts, written_at=written_at, tie=tie).write.parquet(path)
+    newest = spark.read.schema(attempts.schema).parquet(path)
+    return last_words(failed, newest, read_log_tails(newest, n), "path", written_at, tie, n=n)

@@ -6,11 +6,13 @@ views shape the given tables like them; each covers its whole table.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import NEWLINE, split_lines
 from ..operators.logs import TASK_KEYS, newest_attempt
 from ..operators.medallion import silver_dedup
+from .files import address, resolve
 from .tables import read_table
 
 
@@ -130,6 +132,26 @@ def doc_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_lines(doc_text(spark, sf_dir), "text", NEWLINE)
 
 
+def write_log_tree(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """The documents as log files of the attempts with their ids, written by tasks."""
+    attempts = task_attempt(spark, sf_dir).select(*TASK_KEYS, "attempt_id")
+    logs = doc_text(spark, sf_dir).withColumnRenamed("doc_id", "attempt_id").join(attempts, "attempt_id")
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), F.col(k)) for k in TASK_KEYS])
+    root = address(spark, base)
+
+    def write(batches):
+        for batch in batches:
+            for path, attempt, text in zip(*(batch.column(c).to_pylist() for c in ("folder", "attempt_id", "text"))):
+                system, place = resolve(f"{root}/{path}")
+                system.create_dir(place, recursive=True)
+                with system.open_output_stream(f"{place}/attempt={attempt}.log") as file:
+                    file.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column("attempt_id")], names=["attempt_id"])
+
+    files = logs.select(folder.alias("folder"), "attempt_id", "text").mapInArrow(write, "attempt_id long")
+    files.write.format("noop").mode("overwrite").save()
+
+
 def doc_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: ``path`` is the source and the document id."""
     return read_table(spark, sf_dir, "documents").select(

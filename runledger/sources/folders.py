@@ -6,28 +6,17 @@ asked here. Only names travel; a caller lists the folders it asks about.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
 
 
-def _place(spark: SparkSession, path: str):
+def place_of(spark: SparkSession, path: str):
+    """A path and the file system it lies in."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def folder_names(spark: SparkSession, base: str) -> list[str]:
     """Names of the folders right below ``base``; none if it is not there."""
-    place, system = _place(spark, base)
+    place, system = place_of(spark, base)
     found = system.listStatus(place) if system.exists(place) else []
     return sorted(s.getPath().getName() for s in found if s.isDirectory())
-
-
-def files_below(spark: SparkSession, base: str, suffix: str) -> Iterator[tuple[str, int, int]]:
-    """(address, length, milliseconds of the last change) of files at any depth below ``base``."""
-    place, system = _place(spark, base)
-    found = system.listFiles(place, True) if system.exists(place) else None
-    while found and found.hasNext():
-        status = found.next()
-        if status.getPath().getName().endswith(suffix):
-            yield status.getPath().toUri().toString(), status.getLen(), status.getModificationTime()

@@ -9,15 +9,12 @@ shape does not disturb the others. A file outside such folders is no task's log.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.fixed import LINE_ORDER  # noqa: F401  (the order of read_log_lines)
-from .folders import files_below
-
-LISTED = "path string, written_at timestamp, length bigint"
+from ..functions.fixed import LINE_ORDER, LOG_TAIL_LINES  # noqa: F401  (the order of read_log_lines)
+from .files import Resolve, files_of, resolve, tails
 
 
 def _plain(name: Column) -> Column:
@@ -45,17 +42,15 @@ def _of_tasks(df: DataFrame) -> DataFrame:
     return df.where("dag_id is not null and run_id is not null and task_id is not null")
 
 
-def list_attempts(spark: SparkSession, base: str, under: Sequence[str] | None = None) -> DataFrame:
+def list_attempts(
+    spark: SparkSession, base: str, under: Sequence[str] | None = None, found: Resolve = resolve
+) -> DataFrame:
     """One row per log file from the listing alone, empty files included; no content is read.
 
-    The driver lists the folders ``under`` names, those of the runs asked about.
+    Tasks list the folders, so a tree of any size passes the driver by; without
+    ``under`` the DAGs' folders are dealt over the tasks, then the runs' folders.
     """
-    files = [
-        (path, datetime.datetime.fromtimestamp(ms / 1000, datetime.timezone.utc), length)
-        for folder in _folders(base, under)
-        for path, length, ms in files_below(spark, folder, ".log")
-    ]
-    listed = spark.createDataFrame(files, LISTED).withColumn("path", _address(F.col("path")))
+    listed = files_of(spark, _folders(base, under), found).where(F.col("path").endswith(".log"))
     return _of_tasks(
         listed.select(
             *_keys(F.col("path")), "path", _attempt(F.col("path")).alias("attempt"), "written_at", "length"
@@ -63,6 +58,14 @@ def list_attempts(spark: SparkSession, base: str, under: Sequence[str] | None =
     )
 
 
+def read_log_tails(files: DataFrame, n: int = LOG_TAIL_LINES, found: Resolve = resolve) -> DataFrame:
+    """``path, line_no, line, bytes_read``: the last ``n`` lines of each file of a listing.
+
+    Read from the files' ends, so a log of any size costs what its last lines take.
+    """
+    return tails(files.select("path").distinct(), n, found=found)
+
+
 def _reader(spark: SparkSession):
     return (
         spark.read.schema("value string")

@@ -1,39 +1,83 @@
-"""The change stream as a Structured Streaming job.
+"""The change stream as a Structured Streaming job into a table of current rows.
 
-State is the last change per key, deletions included, so that a late older row
-cannot revive a key. It grows with the number of keys, so it is kept in the RocksDB
-state store, on disk and in the checkpoint and not in the heap.
+The table is its own state: the last change per key, deletions included, so that a
+late older row cannot revive a key. It lies in runs, each with one row per key.
+A micro-batch adds a run; runs are merged from the newest back as soon as the newer
+ones together hold as many rows as the next older one. So every run is larger than
+all newer ones together: with N keys there are at most log2(N) + 1 runs whatever the
+number of batches, and a row is rewritten log2(N) times at most. Runs are versions
+under a manifest (``sources.versions``): a reader opens one version and sees whole
+batches only, and a batch that is repeated after a failure is known by its number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+import math
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cdc import cdc_apply, latest_changes
+from ..sources.versions import Part, Table, Version, commit, expire, open_version, schema_text
 
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
+TABLE = "current"
+ROWS_PER_FILE = 1_000_000
+#: Versions a reader may keep open while the stream goes on.
+KEPT_VERSIONS = 20
 
 
-@contextmanager
-def _state_store(spark: SparkSession) -> Iterator[None]:
-    """Choose the state store for a query that starts now, unless the session chose one."""
-    unset = [key for key in STATE_STORE if spark.conf.get(key, None) is None]
-    for key in unset:
-        spark.conf.set(key, STATE_STORE[key])
-    try:
-        yield
-    finally:
-        for key in unset:
-            spark.conf.unset(key)
+def due(rows: Sequence[int]) -> int:
+    """Where the runs to merge begin, given the runs' rows, oldest first; their number if none is due."""
+    newer = 0
+    start = len(rows)
+    for i in range(len(rows) - 1, -1, -1):
+        if i < len(rows) - 1 and newer >= rows[i]:
+            start = i
+        newer += rows[i]
+    return start
+
+
+def _write_run(spark: SparkSession, df: DataFrame, sink: str) -> Part:
+    folder = f"{TABLE}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{sink}/{folder}")
+    return Part(folder, spark.read.schema(df.schema).parquet(f"{sink}/{folder}").count())
+
+
+def apply_changes(
+    spark: SparkSession,
+    sink: str,
+    changes: DataFrame,
+    keys: Sequence[str],
+    seq: Sequence[str],
+    mark: tuple[str, int] | None = None,
+    keep: int = KEPT_VERSIONS,
+) -> Version:
+    """Commit a batch of changes as the next version of the table at ``sink``.
+
+    ``mark`` is the writer's name and the batch's number: a batch up to the last
+    committed one of that name changes nothing. The merge joins no data; it groups
+    the merged runs by key, over as many tasks as they have files' worth of rows.
+    """
+    sink = sink.rstrip("/")
+    seen = open_version(spark, sink)
+    if mark and seen.marks.get(mark[0], -1) >= mark[1]:
+        return seen
+    runs = [*seen.tables[TABLE].parts] if TABLE in seen.tables else []
+    runs.append(_write_run(spark, latest_changes(changes, keys, seq), sink))
+    start = due([r.rows for r in runs])
+    if start < len(runs):
+        merging = runs[start:]
+        parts = math.ceil(sum(r.rows for r in merging) / ROWS_PER_FILE) or 1
+        rows = spark.read.schema(changes.schema).parquet(*[f"{sink}/{r.folder}" for r in merging])
+        merged = latest_changes(rows.repartition(parts, *keys), keys, seq)
+        runs = [*runs[:start], _write_run(spark, merged, sink)]
+    runs = [r for r in runs if r.rows] or runs[-1:]
+    new = commit(spark, seen, {TABLE: Table(schema_text(changes), tuple(runs), None, tuple(keys))}, dict([mark] if mark else []))
+    if new.number % keep == 0:
+        expire(spark, sink, keep)
+    return new
 
 
 def cdc_stream(
@@ -44,28 +88,25 @@ def cdc_stream(
     checkpoint: str,
     once: bool = True,
 ) -> StreamingQuery:
-    """Keep the last change per key and write the keys each micro-batch changed.
+    """Keep the table at ``sink`` current; with ``once`` the query ends when the input is read.
 
-    A batch goes to its own folder and overwrites it on a replay, so a restart
-    writes nothing twice. With ``once`` the query ends when the input is read.
+    The stream has no state of its own, so it needs no state store and may be
+    restarted with another number of shuffle partitions.
     """
+    spark = changes.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        # Read back and merged in the caller's session: the stream's own plans without adaptive execution.
+        apply_changes(spark, sink, batch, keys, seq, mark=(f"stream {checkpoint}", batch_id))
 
-    writer = (
-        latest_changes(changes, keys, seq)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-    )
-    with _state_store(changes.sparkSession):
-        return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def read_current(
-    spark: SparkSession, sink: str, keys: Sequence[str], seq: Sequence[str], schema
+    spark: SparkSession, sink: str, keys: Sequence[str], seq: Sequence[str], schema, version: int | None = None
 ) -> DataFrame:
-    """Current row per key from everything the stream wrote; equals ``cdc_apply``."""
-    written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(sink)
-    return cdc_apply(written, keys, seq)
+    """Current row per key of one version, the newest unless given; equals ``cdc_apply``."""
+    seen = open_version(spark, sink, version)
+    rows = seen.read(spark, TABLE) if TABLE in seen.tables else spark.createDataFrame([], schema)
+    return cdc_apply(rows, keys, seq)

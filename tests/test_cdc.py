@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from runledger.operators.cdc import cdc_apply, latest_changes, repeated_changes
 from runledger.sources.topics import message_changes, readable, unreadable
-from runledger.streaming.cdc import STATE_STORE, cdc_stream, read_current
+from runledger.sources.versions import committed, open_version
+from runledger.streaming.cdc import TABLE, apply_changes, cdc_stream, due, read_current
 from runledger.streaming.gates import counted, is_empty_batch, observe_rows
 
 SCHEMA = "k bigint, seq bigint, op string, payload string"
@@ -83,12 +84,11 @@ def test_stream_equals_batch_after_any_split_and_a_restart(spark, tmp_path, file
         land(spark, data[half:], landing, 3, seed=5)
         progress = run().recentProgress
         assert len(progress) >= 3 // files_per_batch
-        assert "rocksdbCommitCheckpointLatency" in progress[0].stateOperators[0].customMetrics
+        assert not progress[0].stateOperators  # the table is the state
         land(spark, data[:half], landing, 3, seed=6)
         run()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert not any(spark.conf.get(key, None) for key in STATE_STORE)
     got = read_current(spark, sink, ["k"], ["seq"], SCHEMA)
     assert sorted(map(tuple, got.collect())) == current(data)
 
@@ -142,3 +142,67 @@ def test_tombstones_delete_and_unreadable_messages_are_kept(spark):
     live = cdc_apply(readable(changes), ["k"], ["seq"]).collect()
     assert [(r.k, r.v) for r in live] == [(2, "b")]
     assert sorted(r[0] for r in unreadable(changes).collect()) == ["", "not json", "{"]
+
+
+def test_runs_are_merged_so_that_each_is_larger_than_all_newer_ones():
+    rng, runs = random.Random(1), []
+    for _ in range(2000):
+        runs.append(rng.choice([0, 1, 1, 5, 40]))
+        start = due(runs)
+        if start < len(runs):
+            runs[start:] = [min(1000, sum(runs[start:]))]  # a merged run has a row per key at most
+        assert all(runs[i] > sum(runs[i + 1 :]) for i in range(len(runs) - 1))
+        assert len(runs) <= 11
+    assert due([]) == 0 and due([3]) == 1 and due([3, 2]) == 2 and due([3, 3]) == 0 and due([9, 3, 3]) == 1
+
+
+def test_two_hundred_batches_leave_a_bounded_table(spark, tmp_path):
+    """A reader opens few files whatever the number of batches, and the answer is that of one batch."""
+    data, sink = changes(3, n=1000, keys=60), str(tmp_path / "table")
+    order = random.Random(4).sample(data, len(data))
+    opened = []
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for i in range(200):
+            batch = spark.createDataFrame(order[5 * i : 5 * i + 5], SCHEMA).coalesce(1)
+            version = apply_changes(spark, sink, batch, ["k"], ["seq"], ("b", i), keep=10)
+            opened.append(len(version.read(spark, TABLE).inputFiles()))
+            if i in (20, 100, 199):
+                got = read_current(spark, sink, ["k"], ["seq"], SCHEMA)
+                assert sorted(map(tuple, got.collect())) == current(order[: 5 * i + 5])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert max(opened) <= 2 * 7  # log2(60) + 1 runs of two files at most
+    assert len(committed(spark, sink)) <= 20  # old versions and their folders go
+    assert len(list((tmp_path / "table" / TABLE).iterdir())) <= 60
+
+
+def test_a_repeated_batch_changes_nothing_and_a_reader_keeps_its_version(spark, tmp_path):
+    sink = str(tmp_path / "table")
+    first = spark.createDataFrame([(1, 1, "c", "a"), (2, 1, "c", "b")], SCHEMA)
+    second = spark.createDataFrame([(1, 2, "d", None), (3, 1, "c", "c")], SCHEMA)
+    one = apply_changes(spark, sink, first, ["k"], ["seq"], ("s", 0))
+    before = read_current(spark, sink, ["k"], ["seq"], SCHEMA)
+    apply_changes(spark, sink, second, ["k"], ["seq"], ("s", 1))
+    again = apply_changes(spark, sink, second, ["k"], ["seq"], ("s", 1))
+    assert again.number == 2 and committed(spark, sink) == [1, 2]
+    assert sorted(r.k for r in before.collect()) == [1, 2]  # opened before, still whole
+    assert sorted(r.k for r in read_current(spark, sink, ["k"], ["seq"], SCHEMA).collect()) == [2, 3]
+    old = read_current(spark, sink, ["k"], ["seq"], SCHEMA, version=one.number)
+    assert sorted(r.k for r in old.collect()) == [1, 2]
+    # A late older change of another writer does not revive the key.
+    late = spark.createDataFrame([(1, 1, "u", "late")], SCHEMA)
+    apply_changes(spark, sink, late, ["k"], ["seq"], ("other", 0))
+    assert sorted(r.k for r in read_current(spark, sink, ["k"], ["seq"], SCHEMA).collect()) == [2, 3]
+    assert open_version(spark, sink).marks == {"s": 1, "other": 0}
+
+
+def test_batches_without_rows_and_a_table_that_is_not_there(spark, tmp_path):
+    sink = str(tmp_path / "table")
+    assert read_current(spark, sink, ["k"], ["seq"], SCHEMA).collect() == []
+    none = spark.createDataFrame([], SCHEMA)
+    apply_changes(spark, sink, none, ["k"], ["seq"])
+    assert read_current(spark, sink, ["k"], ["seq"], SCHEMA).collect() == []
+    apply_changes(spark, sink, spark.createDataFrame([(1, 1, "c", "a")], SCHEMA), ["k"], ["seq"])
+    apply_changes(spark, sink, none, ["k"], ["seq"])
+    assert [r.k for r in read_current(spark, sink, ["k"], ["seq"], SCHEMA).collect()] == [1]

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from runledger.functions.fixed import NO_LOG_FILE
 from runledger.operators import logs
-from runledger.sources.logs import LINE_ORDER, list_attempts, read_log_lines, read_log_texts
+from runledger.plans.verify import tree_failure_report
+from runledger.sources import files
+from runledger.sources.logs import LINE_ORDER, list_attempts, read_log_lines, read_log_tails, read_log_texts
 
 ATTEMPTS = (
     "dag_id string, run_id string, task_id string, attempt_id bigint, attempt_ts timestamp_ntz"
@@ -250,3 +252,72 @@ def test_noise_patterns_are_anchored_and_case_sensitive(spark):
     )
     got = [r.line for r in logs.import_error_lines(df).orderBy("line_no").collect()]
     assert got == ["no data found", "  filepath", "dags/a.py: 2024-01-01T boom", "24-01-01T", "e4"]
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64, 1 << 16])
+def test_tails_from_the_end_are_those_of_all_lines(spark, rows, tmp_path, block):
+    texts = ["", "\n", "a", "a\n", "a\nb\nc\nd", "p\r\n\r\nq\r\n", "x\ry\rz", "one\r\ntwo\nthree\r", "\r\n" * 5, "é\nü\n" * 9]
+    for i, text in enumerate(texts):
+        folder = tmp_path / "dag_id=d" / "run_id=r" / f"task_id=t{i}"
+        folder.mkdir(parents=True)
+        (folder / "attempt=1.log").write_bytes(text.encode())
+    base = str(tmp_path)
+    lines = read_log_lines(spark, base)
+    for n in (1, 2, 3, 60):
+        kept = logs.log_tail(lines, n, ["path"], LINE_ORDER).select("path", "line")
+        ends = files.tails(list_attempts(spark, base).select("path"), n, block=block)
+        assert rows(ends.select("path", "line")) == rows(kept)
+        assert ends.groupBy("path").agg(F.max("line_no") - F.count("*")).where("`(max(line_no) - count(1))` != 0").isEmpty()
+
+
+def test_a_tail_reads_the_end_of_a_large_log_only(spark, tmp_path):
+    write_log(tmp_path, "d", RUN, "big", 1, "".join(f"line {i} " + "x" * 90 + "\n" for i in range(200_000)), 1_700_000_000)
+    listed = list_attempts(spark, str(tmp_path))
+    size = listed.first().length
+    tail = read_log_tails(listed, 60).collect()
+    assert size > 20_000_000 and len(tail) == 60
+    assert {r.bytes_read for r in tail} == {files.BLOCK_BYTES}
+    assert sorted(int(r.line.split()[1]) for r in tail) == list(range(199_940, 200_000))
+    more = read_log_tails(listed, 5000).collect()
+    assert len(more) == 5000 and more[0].bytes_read < 4 * 5000 * 105
+
+
+def test_a_tree_is_listed_by_tasks(spark, log_tree, monkeypatch):
+    """The driver makes addresses and lists nothing, however many files there are."""
+    calls = []
+    real = files.place_of
+    monkeypatch.setattr(files, "place_of", lambda s, p: calls.append(p) or real(s, p))
+    monkeypatch.setattr(files, "resolve", lambda a: pytest.fail("the driver looked for a file system"))
+    for i in range(300):
+        write_log(log_tree, f"e{i % 7}", f"r{i % 31}", f"t{i}", 1, "x\n" if i % 2 else "", 1_700_000_000)
+    listed = list_attempts(spark, str(log_tree))
+    assert len(calls) == 1
+    assert listed.count() == 307 and listed.where("length = 0").count() == 151
+    assert "MapInArrow" in listed._jdf.queryExecution().toString()
+
+
+def test_report_of_a_tree_opens_the_newest_files_only(spark, log_tree):
+    ti = spark.createDataFrame(
+        [("d", RUN, t, "failed") for t in ("load", "clean", "quiet", "gone")] + [("d", RUN, "clean_up", "success")],
+        "dag_id string, run_id string, task_id string, state string",
+    )
+    report = tree_failure_report(spark, ti, str(log_tree), n=2).collect()
+    said = sorted((r.task_id, r.line_no, r.line) for r in report if r.line)
+    assert said == [
+        ("clean", 1, "nine a"), ("clean", 2, "nine b"), ("gone", None, NO_LOG_FILE),
+        ("load", 1, "line 1999"), ("load", 2, "line 2000"),
+    ]
+    quiet = [r for r in report if r.task_id == "quiet"]
+    assert len(quiet) == 1 and quiet[0].line is None and quiet[0].path.endswith("attempt=1.log")
+    texts = read_log_texts(spark, str(log_tree))
+    whole = logs.failure_report(ti, list_attempts(spark, str(log_tree)), texts, "path", "written_at", "attempt", n=2)
+    assert sorted((r.task_id, r.line or "") for r in report) == sorted((r.task_id, r.line or "") for r in whole.collect())
+
+
+def test_listed_addresses_are_those_of_the_readers(spark, tmp_path):
+    for run in ("a b", "100%", "x+y", "ü:1", "q?#[z]"):
+        write_log(tmp_path, "d", run, "t", 1, "x\n", 1_700_000_000)
+    listed = {r.path: r.run_id for r in list_attempts(spark, str(tmp_path)).collect()}
+    read = {r.path: r.run_id for r in read_log_lines(spark, str(tmp_path)).collect()}
+    assert listed == read and len(listed) == 5
+    assert {r.path for r in read_log_tails(list_attempts(spark, str(tmp_path)), 1).collect()} == set(listed)
