@@ -38,7 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import kept_table, read, slices
@@ -100,6 +100,23 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[list[bytes
         yield batch.column(text).cast(pa.binary()).to_pylist()
 
 
+def _most(counts: DataFrame, most: int) -> list[Row]:
+    """The most frequent rows of ``counts`` (n), at most ``most`` of them.
+
+    Taken by a least count that few enough rows reach, in steps of an eighth of a
+    doubling, so that no task sends rows that are not wanted.
+    """
+    step = F.floor(F.lit(8) * F.log2("n")).cast("int")
+    sizes = {r["step"]: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
+    least, held = max(sizes, default=0) + 1, 0
+    for at in sorted(sizes, reverse=True):
+        held += sizes[at]
+        if held > most:
+            break
+        least = at
+    return counts.where(step >= least).collect()
+
+
 def head(docs: DataFrame, hashing: Hashing, text: str = "text") -> Hashing:
     """``hashing`` with the most frequent words, and pairs if features have two words, looked up.
 
@@ -127,20 +144,18 @@ def head(docs: DataFrame, hashing: Hashing, text: str = "text") -> Hashing:
                     [pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.array(n, pa.int64())], names=["first", "second", "n"]
                 )
 
-    seen = (
+    seen = kept_table(
         docs.select(text)
         .mapInArrow(counted, "first binary, second binary, n long")
         .groupBy("first", "second")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "head",
     )
-    if longest > 1:
-        seen = kept_table(seen, "head")
-    order = [F.desc("n"), "first", "second"]
-    words = [bytes(r["first"]) for r in seen.where("second is null").orderBy(*order).limit(HEAD_WORDS).collect()]
+    words = [bytes(r["first"]) for r in _most(seen.where("second is null"), HEAD_WORDS)]
     states = _States((w, zlib.crc32(w)) for w in words)
     pairs = {}
     if longest > 1:
-        for r in seen.where("second is not null").orderBy(*order).limit(HEAD_PAIRS).collect():
+        for r in _most(seen.where("second is not null"), HEAD_PAIRS):
             a, b = bytes(r["first"]), bytes(r["second"])
             pairs[a, b] = zlib.crc32(b" " + b, states[a]) % hashing.buckets
     return Hashing(hashing.buckets, longest, states, pairs)
