@@ -1,15 +1,18 @@
 """Operator 9, quality rules: lines that many documents of one host share.
 
 Every line is lower-cased, its gaps collapsed, and hashed. For each host (the
-``source`` column) the documents that hold a line are counted. Copies of a
-document must not turn its prose into boilerplate, so documents count as
-distinct only when they differ in the rest: each document is known to a line by
-the smallest hash of two adjacent words among its other lines, which copies with
-a few edits mostly share; this is done with ``len(MASKS)`` orders of the hashes,
-and the mean number of different values counts. A line is over the limit when
-
-* more than ``max(min_docs, share * documents of the host)`` documents hold it, and
-* at least ``spread`` of them are distinct in this sense.
+``source`` column) the documents that hold a line are counted, and a line is a
+candidate when they are more than ``max(min_docs, share * documents of the host)``.
+For candidates the distinct documents are counted and held against the same limit.
+Rows of one text are one document. Near copies must not turn their prose into
+boilerplate either, so a document is known to a line by the smallest hash of two
+adjacent words among its other lines, which copies with a few edits mostly share; this
+is done with ``len(MASKS)`` orders of the hashes, and the mean number of different
+values counts. Near copies differ in a few of these values as well, so a line is over
+the limit when the different values pass the limit by at least ``spread`` of the
+number by which its texts pass it: lines of texts that share less than about nine
+tenths of their words are told from lines of near copies, however many lines are
+shared; texts more alike than that are left to near-duplicate detection.
 
 Lines over the limit are removed. A document is rejected when its base rules
 fail, or when the removal leaves fewer than ``min_left_words`` words or less
@@ -21,10 +24,10 @@ each keeps its own result row; an empty table gives an empty result; extra
 columns are ignored by the rules and kept by :func:`clean_documents`.
 
 Recovery and size: one narrow pass over the texts writes counts and line hashes
-to a shared table; from there on only hashes move. Counting is by hash and
-context first, so a line in a third of all rows is combined in the map tasks;
-the join that marks lines reads both sides from written tables, so Spark can
-broadcast a small side or split a hot key.
+to a shared table; from there on only hashes move. Counting is by hash first, then
+for candidates by hash and text, then by hash and context, so a line in a third of
+all rows is combined in the map tasks; the join that marks candidates reads both
+sides from written tables, so Spark can broadcast a small side or split a hot key.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ MASKS = np.array([0x00000000, 0xA5C3965A, 0x5B1E77D2, 0xF0694B8D], np.uint32)
 class Limits:
     min_docs: int = 10
     share: float = 0.005
-    spread: float = 0.3
+    spread: float = 0.15
     min_left_words: int = 30
     min_left_share: float = 0.3
     min_words: int = 50
@@ -139,23 +142,25 @@ def line_verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "doc_id", "text_hash", "host", "line.h", "line.context"
     )
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
+    limit = F.greatest(F.lit(limits.min_docs), limits.share * F.col("host_docs"))
+    raw = lines.groupBy("host", "h").agg(F.count("*").alias("held_by")).where(F.col("held_by") > limits.min_docs)
+    candidates = kept_table(
+        raw.join(hosts, "host").withColumn("limit", limit).where("held_by > limit").select("host", "h", "limit"), "line-candidates"
+    )
+    held = kept_table(lines.join(candidates, ["host", "h"]), "line-holders")
+    texts = held.groupBy("host", "h", "limit", "text_hash").agg(F.first("context").alias("context"))
     over = kept_table(
-        lines.select("host", "h", F.posexplode("context").alias("order", "context"))
-        .groupBy("host", "h", "order", "context")
+        texts.select("host", "h", "limit", F.posexplode("context").alias("order", "context"))
+        .groupBy("host", "h", "limit", "order", "context")
         .agg(F.count("*").alias("n"))
-        .groupBy("host", "h")
-        .agg((F.sum("n") / len(MASKS)).alias("held_by"), (F.count("*") / len(MASKS)).alias("distinct_docs"))
-        .where(F.col("held_by") > limits.min_docs)
-        .join(hosts, "host")
-        .where(
-            (F.col("held_by") > limits.share * F.col("host_docs"))
-            & (F.col("distinct_docs") >= limits.spread * F.col("held_by"))
-        )
+        .groupBy("host", "h", "limit")
+        .agg((F.sum("n") / len(MASKS)).alias("n_texts"), (F.count("*") / len(MASKS)).alias("distinct_docs"))
+        .where(F.col("distinct_docs") > F.col("limit") + limits.spread * F.greatest(F.col("n_texts") - F.col("limit"), F.lit(0)))
         .select("host", "h"),
         "line-over",
     )
     removed = (
-        lines.drop("context")
+        held.select("doc_id", "text_hash", "host", "h")
         .join(over, ["host", "h"])
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("h").alias("removed"))

@@ -63,6 +63,38 @@ def test_copies_do_not_turn_prose_into_boilerplate(make):
     assert all(r["kept"] and r["lost_words"] == 0 for r in line_verdicts(make(rows)).collect())
 
 
+def test_many_shared_lines_do_not_protect_each_other(make):
+    """Ten lines of 12 words in 300 documents with 30 words of their own: four fifths of each goes."""
+    shared = lines(prose(77, 120), 12)
+    rows = [(i, shared + "\n" + lines(prose(2000 + i, 30), 10), "h") for i in range(300)]
+    rows += [(1000 + i, lines(prose(4000 + i, 90)), "h") for i in range(50)]
+    found = {r["doc_id"]: r for r in line_verdicts(make(rows)).collect()}
+    assert all(found[i]["lost_words"] == 120 and not found[i]["kept"] for i in range(300))
+    assert all(found[1000 + i]["lost_words"] == 0 and found[1000 + i]["kept"] for i in range(50))
+
+
+def test_copies_of_one_holder_do_not_protect_a_line(make):
+    """One line in 60 documents is boilerplate, whatever the number of copies of one of them."""
+    line = " ".join(prose(55, 9))
+    rows = [(i, lines(prose(3000 + i, 70)) + "\n" + line, "h") for i in range(60)]
+    rows += [(100 + i, rows[0][1], "h") for i in range(700)]
+    edited = rows[1][1].split()
+    rows += [(900 + i, lines([*edited[:i], f"edit{i}", *edited[i + 1 : 70]]) + "\n" + line, "h") for i in range(60)]  # near copies
+    found = line_verdicts(make(rows)).collect()
+    assert len(found) == 820 and {r["lost_words"] for r in found} == {9} and all(r["kept"] for r in found)
+
+
+def test_near_copies_alone_are_no_boilerplate(make):
+    words = prose(8, 300)
+    rows = []
+    for i in range(200):
+        edited = list(words)
+        for k in range(5):  # five words of three hundred
+            edited[(i * 37 + k * 61) % 300] = f"edit{i}x{k}"
+        rows.append((i, lines(edited), "h"))
+    assert all(r["kept"] and r["lost_words"] == 0 for r in line_verdicts(make(rows)).collect())
+
+
 def test_verdicts_of_a_table_agree_with_a_brute_force_count(make):
     shared = [" ".join(prose(1000 + k, 7)) for k in range(6)]
     rows = [(i, "\n".join([lines(prose(i, 70)), *[s for k, s in enumerate(shared) if i % (k + 1) == 0]]), f"h{i % 2}") for i in range(60)]
