@@ -347,11 +347,11 @@ def nearest_neighbours(table: DataFrame, every: int = EVERY, wanted: int = WANTE
             )
 
     schema = f"bucket int, is_query boolean, id long, v {kind}, cells array<int>, least double"
-    asked = rows.where(F.col("vec_id") % every == 0).repartition("vec_id", "v")  # walks dealt anew: queries may lie in few files
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = rows.where(F.col("vec_id") % every == 0).repartition(tasks, "vec_id", "v")  # a walk costs more than its row: by number, not size
     both = index.mapInArrow(dealt, schema).unionByName(asked.mapInArrow(probes, schema))
-    parts_ = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = (
-        both.repartition(parts_, "bucket")
+        both.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket", "is_query")
         .mapInArrow(lambda batches: _scored(batches, wanted), "query_id long, vec_id long, score double")
     )
