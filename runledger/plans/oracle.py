@@ -32,6 +32,21 @@ dag_run AS (
          o_orderdate AS start_date, o_orderkey % 7200 AS waited_s
   FROM orders)"""
 
+F3_SPAN = F3 + """,
+dag_run_span AS (
+  SELECT dag_id, run_id, start_date,
+         CASE WHEN state NOT IN ('running', 'queued')
+              THEN start_date + to_days(CAST(CAST(substr(run_id, 5) AS BIGINT) % 40 AS INTEGER)) END AS end_date
+  FROM dag_run),
+step AS (
+  SELECT dag_id, t, CAST(sum(step) AS BIGINT) AS step
+  FROM (SELECT dag_id, start_date AS t, 1 AS step, start_date, end_date FROM dag_run_span
+        UNION ALL SELECT dag_id, end_date, -1, start_date, end_date FROM dag_run_span) e
+  WHERE t IS NOT NULL AND (end_date IS NULL OR end_date > start_date)
+  GROUP BY dag_id, t HAVING sum(step) <> 0),
+swept AS (
+  SELECT *, CAST(sum(step) OVER (PARTITION BY dag_id ORDER BY t) AS BIGINT) AS n FROM step)"""
+
 F4 = """
 dag AS (
   SELECT concat('dag_', CAST(c_custkey AS VARCHAR)) AS dag_id, c_custkey % 4 = 0 AS is_paused,
@@ -246,6 +261,32 @@ SELECT dag_id, run_id, start_date, waited_s,
        CASE WHEN state IN ('running', 'queued') THEN TIMESTAMP '2024-02-01 00:00:00' END
          AS end_date
 FROM dag_run""",
+    "peak_overlap": f"""
+WITH {F3_SPAN},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY n DESC, t) AS rn FROM swept)
+SELECT dag_id, n AS most, t AS first_at FROM ranked WHERE rn = 1""",
+    "busy_spans": f"""
+WITH {F3_SPAN},
+island AS (
+  SELECT dag_id, t, n, step,
+         sum(CASE WHEN n > 1 AND n - step <= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY dag_id ORDER BY t) AS span
+  FROM swept)
+SELECT dag_id, min(t) AS busy_from, max(CASE WHEN n <= 1 THEN t END) AS busy_to, max(n) AS most
+FROM island WHERE n > 1 OR n - step > 1 GROUP BY dag_id, span""",
+    "watch_verdicts": """
+WITH run AS (
+  SELECT concat('dag_', CAST(o_custkey AS VARCHAR)) AS dag_id,
+         concat('run_', CAST(o_orderkey AS VARCHAR)) AS run_id, o_orderdate AS triggered_at,
+         CASE o_orderstatus WHEN 'P' THEN 'failed' WHEN 'F' THEN 'success' END AS state,
+         o_orderdate + to_seconds(o_orderkey % 7200) AS finished_at
+  FROM orders),
+clock AS (
+  SELECT least(max(triggered_at), max(finished_at) FILTER (state IS NOT NULL)) AS now FROM run),
+judged AS (
+  SELECT *, state IS NOT NULL AND finished_at <= triggered_at + to_seconds(3600) AS in_time FROM run)
+SELECT dag_id, run_id, triggered_at, CASE WHEN in_time THEN state ELSE 'no_verdict' END AS verdict,
+       in_time AND state = 'success' AS passed
+FROM judged, clock WHERE in_time OR triggered_at + to_seconds(3600) < now""",
     "end_runs_of_dags": f"""
 WITH {F3}
 SELECT dag_id, run_id, start_date, waited_s,
@@ -415,6 +456,31 @@ expected AS (
   UNION ALL SELECT concat('suppliers/', CAST(s_nationkey AS VARCHAR)), count(*)
             FROM supplier GROUP BY s_nationkey)
 {COMPARE}""",
+    "compare_as_of": """
+WITH actual AS (
+  SELECT o_orderpriority AS metric, o_orderkey AS run_id, o_orderdate AS at,
+         CAST(floor(o_totalprice / 100000) AS BIGINT) AS value FROM orders),
+expected AS (
+  SELECT o_orderpriority AS metric, o_orderdate AS valid_from,
+         max(CAST(floor(o_totalprice / 100000) AS BIGINT)) AS value
+  FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'P' GROUP BY ALL)
+SELECT a.metric, a.run_id, a.at, a.value AS actual_value, e.value AS expected_value, e.valid_from,
+       CASE WHEN e.metric IS NULL THEN 'unexpected' WHEN a.value = e.value THEN 'match' ELSE 'differ' END AS status
+FROM actual a ASOF LEFT JOIN expected e ON a.metric = e.metric AND a.at >= e.valid_from""",
+    "parity_gate": f"""
+WITH {F8},
+d AS (
+  SELECT l_orderkey, l_linenumber, l_extendedprice, count(*) FILTER (s = 1) - count(*) FILTER (s = 2) AS n
+  FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, 1 AS s FROM lineitem
+        UNION ALL SELECT l_orderkey, l_linenumber, l_extendedprice, 2 FROM fact) u
+  GROUP BY ALL)
+SELECT 'schema' AS gate, 'l_tax' AS entity, 'l_tax is in the left table only' AS detail
+UNION ALL SELECT 'schema', 'l_discount', 'l_discount is double on the left and float on the right'
+UNION ALL
+SELECT 'parity', CASE WHEN n > 0 THEN 'left' ELSE 'right' END,
+       concat(CAST(sum(abs(n)) AS VARCHAR),
+              ' rows on this side only, by l_orderkey, l_linenumber, l_extendedprice')
+FROM d WHERE n <> 0 GROUP BY n > 0""",
     "parity_check": f"""
 WITH {F8}
 SELECT 'left' AS side, l_orderkey, l_linenumber, l_extendedprice, l_discount,
@@ -437,6 +503,23 @@ FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) r GROUP BY ALL""",
 SELECT event_id, ts, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
        CAST(NULL AS VARCHAR) AS _corrupt_record
 FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)""",
+    "missing_landings": """
+WITH landed AS (
+  SELECT concat_ws('/', event_type, CAST(user_id % 40 AS VARCHAR)) AS feed, CAST(ts AS DATE) AS day,
+         sum(CASE WHEN event_id % 5 < 3 THEN length(props) ELSE 0 END) AS size
+  FROM events GROUP BY ALL),
+spine AS (
+  SELECT feed, CAST(unnest(generate_series(min(day), (SELECT max(day) FROM landed), INTERVAL 1 DAY)) AS DATE) AS day
+  FROM landed GROUP BY feed),
+gap AS (
+  SELECT s.feed, s.day, CASE WHEN l.day IS NULL THEN 'absent' ELSE 'empty' END AS kind
+  FROM spine s LEFT JOIN landed l ON l.feed = s.feed AND l.day = s.day
+  WHERE l.day IS NULL OR l.size = 0),
+island AS (
+  SELECT *, date_diff('day', DATE '2000-01-01', day) - row_number() OVER (PARTITION BY feed, kind ORDER BY day) AS g
+  FROM gap)
+SELECT feed, kind, min(day) AS first_day, max(day) AS last_day, CAST(count(*) AS BIGINT) AS n_days
+FROM island GROUP BY feed, kind, g""",
     "landing_json": """
 SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) AS landing_date,
        CAST(NULL AS VARCHAR) AS _corrupt_record
@@ -448,6 +531,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM
 WHERE rn = 1 AND op <> 'd'""",
     "silver_dedup": f"""
 WITH {F8} SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount FROM fact""",
+    "silver_stream": """
+SELECT o_orderkey, o_custkey, o_orderdate AS at FROM orders""",
     "gold_revenue": f"""
 WITH {F8}
 SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n_lines,
@@ -472,3 +557,4 @@ expected AS ({_line_figures("fact")} UNION ALL {ORDER_FIGURES})
 {COMPARE}""",
 }
 ORACLE["cdc_stream"] = ORACLE["cdc_apply"]
+ORACLE["parity_by_digest"] = ORACLE["parity_check_raw"]

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.money import cents, line_revenue_cents
 from ..functions.text import contains_ignoring_case
-from ..operators import cdc, compare, gates, logs, medallion, runs, scan
+from ..operators import cdc, compare, gates, logs, medallion, overlap, runs, scan
 from ..session import scratch_dir
 from ..sources import fixtures as fx
-from ..sources.landing import landing_read, latest_day, parse_payload
+from ..sources.landing import landing_read, latest_day, missing_landings as missing, parse_payload
 from ..sources.tables import read_table, register_external as register
 from ..sources.versions import open_version
 from ..streaming.cdc import cdc_stream as start_cdc_stream, read_current
+from ..streaming.watch import first_of_each, watch_verdicts as watch
 from .acceptance import accept_run, publish_and_read
 from .ending import RUNS, TASKS, end_dags as end_jointly, publish_history
 from .verify import failed_run_report as report_failed_runs, tree_failure_report, verify_dags as verify
@@ -104,6 +105,39 @@ def fail_in_flight_runs(spark, sf):
     return runs.fail_in_flight_runs(history, F.lit(AS_OF).cast("timestamp_ntz"))
 
 
+@query
+def peak_overlap(spark, sf):
+    return overlap.peak_overlap(fx.dag_run_span(spark, sf))
+
+
+@query
+def busy_spans(spark, sf):
+    """When several runs of a DAG were in flight at once."""
+    return overlap.busy_spans(fx.dag_run_span(spark, sf))
+
+
+def _orders_stream(spark: SparkSession, sf: str) -> DataFrame:
+    orders = read_table(spark, sf, "orders")
+    return spark.readStream.schema(orders.schema).parquet(f"{sf.rstrip('/')}/orders.parque[t]")
+
+
+def _streamed(stream: DataFrame, label: str) -> DataFrame:
+    """What a stream gives by the end of its input, in append mode."""
+    base = scratch_dir(stream.sparkSession, label)
+    writer = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query
+def watch_verdicts(spark, sf):
+    """Triggered runs met with their ends as two streams; runs still pending at the end are no rows."""
+    triggered, _ = fx.run_ends(_orders_stream(spark, sf))
+    _, ended = fx.run_ends(_orders_stream(spark, sf))
+    verdicts = _streamed(watch(triggered, ended), "watch")
+    return verdicts.withColumn("triggered_at", F.col("triggered_at").cast("timestamp_ntz"))
+
+
 @query
 def end_runs_of_dags(spark, sf):
     """The runs in flight of a few DAGs ended; the history of the others is not read."""
@@ -381,6 +415,27 @@ def snapshot_compare(spark, sf):
 FACT = ("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
 
 
+@query
+def compare_as_of(spark, sf):
+    """Each run's figure against the value published last before it."""
+    return compare.compare_as_of(*fx.priority_figures(spark, sf))
+
+
+@query
+def parity_by_digest(spark, sf):
+    """The lines that the raw table repeats, from unequal buckets only."""
+    raw = read_table(spark, sf, "lineitem").select(*FACT)
+    return compare.parity_by_digest(raw, fx.fact_dedup(spark, sf).select(*FACT))
+
+
+@query
+def parity_gate(spark, sf):
+    """Tables of unlike columns: the differences as rows, and the rows that differ in what they share."""
+    raw = read_table(spark, sf, "lineitem").select(*FACT, "l_tax")
+    fact = fx.fact_dedup(spark, sf).select(*FACT).withColumn("l_discount", F.col("l_discount").cast("float"))
+    return compare.parity_gate(raw, fact)
+
+
 @query
 def parity_check(spark, sf):
     fact = fx.fact_dedup(spark, sf).select(*FACT)
@@ -405,6 +460,14 @@ def landing_latest(spark, sf):
     )
 
 
+@query
+def missing_landings(spark, sf):
+    """Spans of days without a folder, and of days with an empty one, up to the last day of any feed."""
+    landed = fx.landed(spark, sf)
+    last = landed.agg(F.max("landing_date")).first()[0]
+    return missing(landed, F.lit(last))
+
+
 @query
 def landing_json(spark, sf):
     """The events landed as JSON by date; the latest date read back under a schema."""
@@ -443,6 +506,15 @@ def silver_dedup(spark, sf):
     return fx.fact_dedup(spark, sf).select(*FACT)
 
 
+@query
+def silver_stream(spark, sf):
+    """One row per order from a stream in which every order comes twice."""
+    orders = _orders_stream(spark, sf).select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    twice = orders.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
+    kept = _streamed(first_of_each(twice, ["o_orderkey"], "at", 86_400), "silver")
+    return kept.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query
 def gold_revenue(spark, sf):
     dims = [read_table(spark, sf, t) for t in ("orders", "customer", "nation", "region")]

@@ -14,7 +14,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .folders import place_of
 
@@ -42,6 +42,13 @@ def address(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "file:/", system.makeQualified(place).toUri().toString())
 
 
+def plain_name(name: Column) -> Column:
+    """A folder name as it was given: once decoded as an address, once as Hive escapes it."""
+    decode = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    once = decode(name)
+    return F.coalesce(F.when(once.contains("%"), F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))), once)
+
+
 def _entries(folder: str, deep: bool, found: Resolve) -> Iterator[tuple]:
     system, path = found(folder)
     path = path.rstrip("/")

@@ -96,6 +96,46 @@ def dag_run_later(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dag_run(spark, sf_dir).withColumn("state", F.coalesce(ended, "state"))
 
 
+def dag_run_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs with an end up to forty days after their start; those in flight have none."""
+    days = (F.substring_index("run_id", "_", -1).cast("bigint") % 40).cast("int")
+    end = F.when(~F.col("state").isin("running", "queued"), F.col("start_date") + F.make_dt_interval(days))
+    return dag_run(spark, sf_dir).withColumn("end_date", end)
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred feeds and their folders by day; the folder of a day may hold nothing."""
+    events = read_table(spark, sf_dir, "events")
+    feed = F.concat_ws("/", "event_type", (F.col("user_id") % 40).cast("string"))
+    size = F.when(F.col("event_id") % 5 < 3, F.length("props")).otherwise(0)
+    return events.select(feed.alias("feed"), F.col("ts").cast("date").alias("landing_date"), size.cast("bigint").alias("size"))
+
+
+def priority_figures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Figures of runs by priority, and the values published for each priority from a day on."""
+    orders = read_table(spark, sf_dir, "orders")
+    value = F.floor(F.col("o_totalprice") / 100000).cast("bigint").alias("value")
+    metric = F.col("o_orderpriority").alias("metric")
+    actual = orders.select(metric, F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("at"), value)
+    published = orders.where((F.col("o_orderkey") % 10 == 0) & (F.col("o_orderstatus") != "P"))
+    return actual, published.select(metric, F.col("o_orderdate").alias("valid_from"), value)
+
+
+def run_ends(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs as they are triggered, and as they end; also from a stream of orders."""
+    named = orders.select(
+        _id("dag_", "o_custkey").alias("dag_id"),
+        _id("run_", "o_orderkey").alias("run_id"),
+        F.col("o_orderdate").cast("timestamp").alias("triggered_at"),
+        "o_orderkey",
+        "o_orderstatus",
+    )
+    state = F.when(F.col("o_orderstatus") == "P", "failed").when(F.col("o_orderstatus") == "F", "success")
+    took = F.make_dt_interval(secs=(F.col("o_orderkey") % 7200).cast("decimal(18,6)"))
+    ended = named.select("dag_id", "run_id", state.alias("state"), (F.col("triggered_at") + took).alias("finished_at"))
+    return named.select("dag_id", "run_id", "triggered_at"), ended.where("state is not null")
+
+
 def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = F.col("c_custkey") % 50
     return read_table(spark, sf_dir, "customer").select(

@@ -14,19 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import LINE_ORDER, LOG_TAIL_LINES  # noqa: F401  (the order of read_log_lines)
-from .files import Resolve, files_of, resolve, tails
-
-
-def _plain(name: Column) -> Column:
-    """A folder name as it was given: once decoded as an address, once as Hive escapes it."""
-    decode = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    once = decode(name)
-    return F.coalesce(F.when(once.contains("%"), F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))), once)
+from .files import Resolve, files_of, plain_name, resolve, tails
 
 
 def _keys(path: Column) -> list[Column]:
     part = lambda key: F.regexp_extract(path, f"/{key}=([^/]*)/", 1)
-    named = [F.when(part(k) != "", _plain(part(k))).alias(k) for k in ("dag_id", "run_id", "task_id")]
+    named = [F.when(part(k) != "", plain_name(part(k))).alias(k) for k in ("dag_id", "run_id", "task_id")]
     return [*named, F.when(part("map_index") != "", part("map_index")).try_cast("int").alias("map_index")]
 
 

@@ -4,12 +4,12 @@ import pytest
 
 from runledger.functions.money import cents
 from runledger.operators.gates import required_keys
-from runledger.operators.medallion import figures, publish_snapshot
+from runledger.operators.medallion import figures, gold_revenue, publish_snapshot
 from runledger.operators.scan import Exemption, ScanRule, in_scope, term_scan
 from runledger.operators import gates
 from runledger.plans.acceptance import accept_run
 from runledger.session import scratch_dir
-from runledger.sources.landing import landing_read, landing_stream, latest_day, parse_payload
+from runledger.sources.landing import landed_days, landing_read, landing_stream, latest_day, missing_landings, parse_payload
 from runledger.sources.snapshots import read_snapshot
 from runledger.sources.tables import metadata_options, register_external, write_version
 from runledger.sources.texts import paused_flag, read_pins, read_text_files
@@ -222,3 +222,51 @@ def test_scratch_is_refused_on_a_cluster_that_names_no_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_dir(Session(), "x")
+
+
+def test_days_without_a_folder_are_told_from_empty_ones(spark, tmp_path):
+    def land(feed, day, *texts):
+        folder = tmp_path / f"feed={feed}" / f"landing_date=2024-01-{day:02d}"
+        folder.mkdir(parents=True)
+        for i, text in enumerate(texts):
+            (folder / f"part-{i}.json").write_text(text)
+
+    for day in (1, 2, 5, 6, 9):
+        land("a", day, "{}")
+    land("a", 3)  # a folder without files
+    land("a", 7, "", "")  # empty files only
+    land("b%2Fc", 4, "{}")
+    (tmp_path / "feed=a" / "_tmp").mkdir()
+    (tmp_path / "notes").mkdir()
+    days = landed_days(spark, str(tmp_path))
+    assert {(r.feed, r.landing_date.day): r.size for r in days.collect()} == {
+        ("a", 1): 2, ("a", 2): 2, ("a", 3): 0, ("a", 5): 2, ("a", 6): 2, ("a", 7): 0, ("a", 9): 2, ("b/c", 4): 2,
+    }
+    found = missing_landings(days, F.lit("2024-01-10").cast("date")).collect()
+    assert {(r.feed, r.kind, r.first_day.day, r.last_day.day, r.n_days) for r in found} == {
+        ("a", "empty", 3, 3, 1), ("a", "absent", 4, 4, 1), ("a", "empty", 7, 7, 1), ("a", "absent", 8, 8, 1),
+        ("a", "absent", 10, 10, 1), ("b/c", "absent", 5, 10, 6),
+    }
+    since = missing_landings(days, F.lit("2024-01-04").cast("date"), F.lit("2023-12-31").cast("date")).where("feed = 'b/c'")
+    assert [(r.first_day.isoformat(), r.n_days) for r in since.collect()] == [("2023-12-31", 4)]
+    assert missing_landings(days, F.lit("2023-01-01").cast("date")).collect() == []
+    assert landed_days(spark, str(tmp_path / "nowhere")).collect() == []
+
+
+def test_the_last_day_reaches_the_scan_as_a_literal(spark, tmp_path):
+    spark.sql("select id, timestamp'2024-01-01 10:00:00' + make_dt_interval(0, id) as ts from range(100)").write.parquet(str(tmp_path / "t"))
+    last = latest_day(spark.read.parquet(str(tmp_path / "t")), "ts")
+    assert last.count() == 14  # up to hour 109: from the start of the fifth day
+    plan = last._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts,2024-01-05" in plan
+    assert latest_day(spark.read.parquet(str(tmp_path / "t")).limit(0), "ts").collect() == []
+
+
+def test_money_without_an_order_stays_in_gold(spark):
+    fact = spark.createDataFrame([(1, 10.0, 0.0), (2, 20.0, 0.5), (3, 5.0, 0.0), (None, 1.0, 0.0), (4, 2.0, 0.0)], "l_orderkey int, l_extendedprice double, l_discount double")
+    orders = spark.createDataFrame([(1, 1), (2, 2), (3, None), (4, 3)], "o_orderkey int, o_custkey int")
+    customer = spark.createDataFrame([(1, 1), (3, 77)], "c_custkey int, c_nationkey int")
+    nation = spark.createDataFrame([(1, "N", 1)], "n_nationkey int, n_name string, n_regionkey int")
+    region = spark.createDataFrame([(1, "R")], "r_regionkey int, r_name string")
+    found = {(r.r_name, r.n_name): (r.n_lines, r.revenue_cents) for r in gold_revenue(fact, orders, customer, nation, region).collect()}
+    assert found == {("R", "N"): (1, 1000), (None, None): (4, 1800)}
