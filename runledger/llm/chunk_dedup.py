@@ -11,9 +11,9 @@ spans of ``MIN_WORDS`` words or more are removed. A false match of digests is
 therefore harmless unless several adjacent chunks collide as well.
 
 Defined cases: NULL and empty texts have no chunks; rows of one doc_id count as
-one document and never repeat each other, equal rows get equal results; rows
-without doc_id are one document, the last; an empty table gives an empty
-result; extra columns are ignored, :func:`dedup_documents` keeps them. Texts
+one document and never repeat each other, equal rows get equal results; a
+row without doc_id is the document of its text, after all that have one (ids lie
+below 2**62); an empty table gives an empty result; extra columns are ignored, :func:`dedup_documents` keeps them. Texts
 without cuts are cut every ``MAX_BYTES`` bytes.
 
 Recovery and size: the chunks are written to the shared folder once. Finding
@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from .common import kept_table, slices
+from .common import kept_table, slices, text_hash
 
 MIN_BYTES = 16
 MAX_BYTES = 1024
 CUT_BITS = 4
 FAR = 64
 MIN_WORDS = 16
-NO_ID = (1 << 63) - 1
+#: Documents without an id are numbered from here by the hash of their text.
+NO_ID = 1 << 62
 
 #: A random 32-bit number per byte value, always the same.
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4, person=b"gear").digest() for b in range(256)), np.uint32)
@@ -117,11 +118,10 @@ def row_key() -> Column:
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, k, begin, end, n_words, keeper: byte spans to remove, and the doc_id that keeps the text.
 
-    ``doc`` is doc_id, NO_ID where it is NULL; ``k`` tells rows apart (:func:`row_key`).
+    ``doc`` is doc_id, a number from NO_ID on where it is NULL; ``k`` tells rows apart (:func:`row_key`).
     """
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), row_key().alias("k"), F.col("text").cast("string")
-    )
+    by_text = F.lit(NO_ID) + F.pmod(text_hash(), F.lit(NO_ID))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), by_text).alias("doc"), row_key().alias("k"), F.col("text").cast("string"))
     cut = kept_table(rows.mapInArrow(_chunked, f"doc long, k long, chunks array<{_CHUNK}>"), "chunks")
     repeated = kept_table(
         cut.select("doc", F.explode("chunks.d").alias("d"))
@@ -184,7 +184,7 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def op1_chunk_dedup(spark, sf_dir: str) -> DataFrame:
     """Every span removed: the document, the bytes, its words, and the document that keeps the passage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    doc_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias
+    doc_id = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias
     return repeated_spans(docs).select(
         doc_id("doc")("doc_id"), F.col("begin").alias("begin_byte"), F.col("end").alias("end_byte"), "n_words", doc_id("keeper")("kept_doc_id")
     )

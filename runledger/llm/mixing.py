@@ -125,8 +125,11 @@ def _covered(at: Column, size: Column, start: Column, length: Column) -> Column:
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds host, size, and the numbers that place a document: __shard, __order, __text."""
-    doc_id = F.col("doc_id").cast("long")
+    """Adds host, size, and the numbers that place a document: __shard, __order, __text.
+
+    Rows without an id are placed by their text, so they do not share one shard.
+    """
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     return (
         docs.withColumn("__host", fold("source"))
         .withColumn("__size", words_in("text"))

@@ -79,6 +79,19 @@ def test_planted_passages_stay_once_and_clean_documents_stay_whole(make):
     assert flagged == set(range(12, 60))
 
 
+def test_rows_without_ids_are_documents_of_their_own(make):
+    passage = prose(4000, 60)
+    body = lambda i: " ".join([*prose(i, 50), *passage, *prose(100 + i, 50)])
+    bare = repeated_spans(make([(None, body(i)) for i in range(20)])).collect()
+    named = repeated_spans(make([(i, body(i)) for i in range(20)])).collect()
+    assert len(bare) == len(named) == 19
+    # Between rows with an id and without one, the one with an id keeps the passage; equal rows are one document.
+    mixed = make([(7, body(1)), (None, body(2)), (None, body(3)), (None, body(3))])
+    assert {r["keeper"] for r in repeated_spans(mixed).collect()} == {7}
+    texts = sorted(len(r["text"].split()) for r in dedup_documents(mixed).collect())
+    assert texts[-1] == 160 and max(texts[:-1]) < 130
+
+
 def test_odd_rows_of_chunks(make):
     same = " ".join(prose(1, 100))
     rows = [(1, None), (2, ""), (3, same), (3, same), (4, same + " " + " ".join(prose(2, 40))), (None, same), (5, "x" * 100_000)]

@@ -94,6 +94,17 @@ def test_documents_of_the_mix_hold_the_words_taken(make, spark):
         assert r["target"] == "own" and r["n_chars"] == len(r["text"])
 
 
+def test_rows_without_ids_are_dealt_over_shards(make):
+    rows = [(None, " ".join(prose(i, 40)), "a") for i in range(60)]
+    docs = make(rows)
+    found = mix(docs, shard_tokens=200).collect()
+    assert len(found) == 60 and abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 32
+    assert sorted(map(str, found)) == sorted(map(str, mix(docs, shard_tokens=200).collect()))
+    from runledger.llm.mixing import _sized
+
+    assert _sized(docs, 1).select("__shard").distinct().count() == 60
+
+
 def test_odd_rows(make, spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "one two three", None), (3, "one two three", None), (None, "x " * 500, "b"), (4, "w " * 50_000, "c")]
     found = mix(make(rows)).collect()
