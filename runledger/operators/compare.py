@@ -91,8 +91,12 @@ def schema_differences(left: DataFrame, right: DataFrame) -> list[str]:
 
 def schema_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(gate, entity, detail)`` rows for what the schemas do not share; none if they are the same."""
-    said = [("schema", text.split(" is ")[0], text) for text in schema_differences(left, right)]
-    return left.sparkSession.createDataFrame(said, "gate string, entity string, detail string")
+    said = [
+        F.struct(F.lit("schema").alias("gate"), F.lit(text.split(" is ")[0]).alias("entity"), F.lit(text).alias("detail"))
+        for text in schema_differences(left, right)
+    ]
+    none = F.array().cast("array<struct<gate:string,entity:string,detail:string>>")
+    return left.sparkSession.range(1).select(F.inline(F.array(*said) if said else none))
 
 
 def parity_gate(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -77,6 +77,15 @@ def run_decision(dags: DataFrame, runs: DataFrame, unpause: bool = False) -> Dat
     busy = _in_flight(runs).groupBy("dag_id").agg(
         F.count(F.lit(1)).alias("n_in_flight"), F.max("run_id").alias("only_run")
     )
+    return decided(dags, busy, unpause)
+
+
+def decided(dags: DataFrame, busy: DataFrame, unpause: bool = False) -> DataFrame:
+    """The decisions, given per DAG with runs in flight their number and, if it is one, the run.
+
+    ``busy`` has ``dag_id, n_in_flight, only_run``; what else it has comes along.
+    """
+    more = [c for c in busy.columns if c not in ("dag_id", "n_in_flight", "only_run")]
     scanned = F.coalesce(F.col("scanned"), F.lit(False))
     broken = F.coalesce(F.col("has_import_error"), F.lit(False))
     # Anything but a clear "not paused" is refused.
@@ -92,12 +101,13 @@ def run_decision(dags: DataFrame, runs: DataFrame, unpause: bool = False) -> Dat
     )
     return (
         dags.join(busy, "dag_id", "left")
-        .select("dag_id", decision.alias("decision"), n.alias("n_in_flight"), "only_run")
+        .select("dag_id", decision.alias("decision"), n.alias("n_in_flight"), "only_run", *more)
         .select(
             "dag_id",
             "decision",
             "n_in_flight",
             F.when(F.col("decision") == "adopt", F.col("only_run")).alias("adopted_run_id"),
+            *more,
         )
     )
 

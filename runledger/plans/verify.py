@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import FAILED_LABEL, LOG_TAIL_LINES, VERDICT_TIMEOUT_S
 from ..operators.logs import TASK_KEYS, import_error_lines, last_words, newest_attempt
-from ..operators.runs import failed_tasks, in_flight_runs, run_decision, run_verdict, unfinished_tasks
+from ..operators.runs import decided, failed_tasks, in_flight_runs, run_verdict, unfinished_tasks
 from ..session import scratch_dir
 from ..sources.logs import list_attempts, read_log_tails
 
@@ -32,14 +32,20 @@ def verify_dags(
     busy DAG, or from ``errors`` (``dag_id, line_no, line``) the first lines that
     carry an import error of a DAG that cannot be parsed.
     """
-    decisions = run_decision(dags, runs, unpause)
+    # One pass over the runs: their listing has the number, the only run and the first few of a DAG.
+    listing = F.array_sort(F.collect_list(F.struct("pos", "run_id")))  # a few rows per DAG
+    busy = in_flight_runs(runs).groupBy("dag_id").agg(
+        F.max("n_in_flight").alias("n_in_flight"),
+        F.max("run_id").alias("only_run"),
+        F.array_join(F.transform(listing, lambda x: x["run_id"]), ", ").alias("busy"),
+    )
+    decisions = decided(dags, busy, unpause)
     adopted = decisions.where("adopted_run_id is not null").select(
         "dag_id", F.col("adopted_run_id").alias("run_id")
     )
     watched = (runs if later is None else later).join(adopted, ["dag_id", "run_id"], "left_semi")
     verdicts = run_verdict(watched, timeout_s).withColumnRenamed("run_id", "adopted_run_id")
-    listed = in_order(in_flight_runs(runs), "pos", "run_id", ", ").withColumnRenamed("said", "busy")
-    out = decisions.join(verdicts, ["dag_id", "adopted_run_id"], "left").join(listed, "dag_id", "left")
+    out = decisions.join(verdicts, ["dag_id", "adopted_run_id"], "left")
     because = F.when(F.col("decision") == "refuse_busy", F.col("busy"))
     if errors is not None:
         out = out.join(in_order(import_error_lines(errors), "line_no", "line", "\n"), "dag_id", "left")
