@@ -3,13 +3,14 @@
 1. Document frequencies of words, over all documents; words in at least
    ``RARE`` of them get their own idf, all others the same. That table has at
    most (mean distinct words per document) / RARE rows.
-2. One pass gives each text a digest of its words, its weight and ``BANDS``
-   numbers of ``ROWS`` samples each (:mod:`weighted_minhash`). Texts of equal
+2. One pass gives each text a digest of its words, its weight, its number of
+   shingles and ``BANDS`` numbers of ``ROWS`` samples each (:mod:`weighted_minhash`);
+   ``PLAIN`` of the bands sample shingles without their weights. Texts of equal
    words are one text from here on, known by its smallest doc_id.
 3. Texts that share a band's number are a bucket. In each bucket every text is
    compared with the one that sits in the fullest buckets (later with the first
    ``PIVOTS`` of them): in a group of copies that is the text the others were
-   made from. Pairs whose weights differ too
+   made from. Pairs whose weights and numbers of shingles both differ too
    much to reach ``SIMILARITY`` are left out; of the others the weighted Jaccard
    similarity is worked out from the whole texts. A pair is a link when it
    reaches ``SIMILARITY``, or when the same shingles do without their weights, so
@@ -24,8 +25,10 @@
 
 In buckets of up to ``SMALL`` texts, pairs that agree in ``AGREE`` bands or more
 are compared: of similarity s, each band agrees with probability s**ROWS, so
-0.997 of the pairs at 0.8 are, and 0.9998 at 0.86; of pairs at 0.3, which share
-a passage, 0.008.
+0.997 of the pairs at 0.8 with and without weights are, and 0.9998 at 0.86; of
+pairs at 0.3, which share a passage, 0.008. Where the two similarities part, the
+bands of the one that reaches 0.8 count: a text whose body stands twice in its copy
+(0.5 by weight, 0.95 without) is compared in 0.98 of all cases.
 
 Defined cases: NULL texts and texts without words are no one's copy; texts of
 fewer than five words are compared whole; rows of one doc_id are one document;
@@ -55,6 +58,7 @@ from .weighted_minhash import Sampler, Shingler, similarity, weights_of, word_ha
 
 SIMILARITY = 0.8
 BANDS = 16
+PLAIN = 4
 ROWS = 4
 AGREE = 2
 PIVOTS = 4
@@ -96,10 +100,10 @@ def frequent_words(rows: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.
 
 
 def signatures(rows: DataFrame, frequencies, bands: int, rows_per_band: int) -> DataFrame:
-    """doc_id, rid, digest (NULL for a text without words), weight, bands."""
+    """doc_id, rid, digest (NULL for a text without words), weight, shingles, bands."""
 
     def signed(batches):
-        shingles, sample = Shingler(*frequencies), Sampler(bands, rows_per_band)
+        shingles, sample = Shingler(*frequencies), Sampler(bands, rows_per_band, min(PLAIN, bands // 4))
         for batch in slices(batches, size_bytes=SLICE):
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
             keys, levels, counts = shingles(texts)
@@ -110,12 +114,12 @@ def signatures(rows: DataFrame, frequencies, bands: int, rows_per_band: int) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("rid"), pa.array(digest, pa.binary()), pa.array(weight, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(numbers.ravel())),
+                    pa.array(counts.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(numbers.ravel())),
                 ],
-                names=["doc_id", "rid", "digest", "weight", "bands"],
+                names=["doc_id", "rid", "digest", "weight", "shingles", "bands"],
             )
 
-    return rows.mapInArrow(signed, "doc_id long, rid long, digest binary, weight double, bands array<long>")
+    return rows.mapInArrow(signed, "doc_id long, rid long, digest binary, weight double, shingles int, bands array<long>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, frequencies) -> DataFrame:
@@ -145,9 +149,10 @@ def _compared(pairs: DataFrame, texts: DataFrame, frequencies) -> DataFrame:
     return joined.mapInArrow(measured, "a long, b long, similarity double, plain double")
 
 
-def _near(one: str, other: str, least: float) -> Column:
-    """Whether two weights allow the similarity; texts equal but for weights may differ by a little more."""
-    return F.least(one, other) >= 0.75 * least * F.greatest(one, other)
+def _near(least: float) -> Column:
+    """Whether two weights allow the similarity, or two numbers of shingles do without weights."""
+    enough = lambda c, share: F.least(f"{c}_1", f"{c}_2") >= share * F.greatest(f"{c}_1", f"{c}_2")
+    return enough("weight", least - SLACK) | enough("shingles", least)
 
 
 def _pairs(members: DataFrame, least: float, agree: int, pivots: int) -> DataFrame:
@@ -156,14 +161,14 @@ def _pairs(members: DataFrame, least: float, agree: int, pivots: int) -> DataFra
     Pairs of one class, of too different weights, or of too few equal bands are left out.
     """
     wide, narrow = members.where(~F.col("narrow")), members.where("narrow")
-    side = lambda df, n: df.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "weight", "bands", "label")])
+    side = lambda df, n: df.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "weight", "shingles", "bands", "label")])
     pivot = side(top_per_group(wide, ["bucket"], [F.desc("fame"), F.asc("node")], pivots), 2)
     found = side(wide, 1).join(pivot, "bucket").unionByName(
         side(narrow, 1).join(side(narrow, 2), "bucket").where("node_1 < node_2")
     )
     equal = F.size(F.filter(F.zip_with("bands_1", "bands_2", lambda x, y: x == y), lambda same: same))
     return (
-        found.where((F.col("label_1") != F.col("label_2")) & _near("weight_1", "weight_2", least) & (equal >= agree))
+        found.where((F.col("label_1") != F.col("label_2")) & _near(least) & (equal >= agree))
         .select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b"))
         .distinct()
     )
@@ -266,7 +271,7 @@ def near_classes(
     )
     # One row per text, the signature of the row that names it; and one per text and band.
     own = kept_table(
-        signed.join(known, "digest").where("rid = node").select("node", "weight", "bands").dropDuplicates(["node"]), "own"
+        signed.join(known, "digest").where("rid = node").select("node", "weight", "shingles", "bands").dropDuplicates(["node"]), "own"
     )
     members = own.select("node", F.posexplode("bands").alias("band", "key"))
     crowd = kept_table(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
@@ -282,7 +287,7 @@ def near_classes(
     )
     members = kept_table(
         members.join(popular, "node").join(own, "node").select(
-            "node", "weight", "fame", "bands", "band", F.xxhash64("band", "key").alias("bucket"), F.lit(False).alias("narrow"), F.col("node").alias("label")
+            "node", "weight", "shingles", "fame", "bands", "band", F.xxhash64("band", "key").alias("bucket"), F.lit(False).alias("narrow"), F.col("node").alias("label")
         ),
         "buckets",
     )

@@ -113,10 +113,13 @@ def weights_of(level: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Signatures of ``bands`` times ``rows`` samples, folded to one number per band."""
+    """Signatures of ``bands`` times ``rows`` samples, folded to one number per band.
 
-    def __init__(self, bands: int, rows: int):
-        self.bands, self.rows = bands, rows
+    The last ``plain`` bands sample as if every shingle weighed one.
+    """
+
+    def __init__(self, bands: int, rows: int, plain: int = 0):
+        self.bands, self.rows, self.weighted = bands, rows, bands - plain
         self.table = _sampling_table().ravel()
         self.factors = _odd(5, bands * rows)
         self.folds = _odd(9, rows)
@@ -138,7 +141,7 @@ class Sampler:
             for k, factor in enumerate(self.factors):
                 x = spread * factor
                 draw = (x >> U64(50)).astype(np.int64)
-                value = self.table[base + draw].astype(U64) << U64(32)
+                value = self.table[base + draw if k < self.weighted * self.rows else draw].astype(U64) << U64(32)
                 value |= (x >> U64(18)) & U64(0xFFFFFFFF)
                 samples[k] = np.minimum.reduceat(value, starts)
             for band in range(self.bands):

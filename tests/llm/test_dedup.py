@@ -207,6 +207,16 @@ def test_near_copies_among_many_siblings(make):
     assert all(found[i] == i for i in range(500))
 
 
+def test_a_body_that_stands_twice_in_a_copy_is_linked(make):
+    """Alike without weights (0.97), far apart with them: the copy's shingles count twice."""
+    rows = [(i, " ".join(prose(7000 + i, 200))) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " " + rows[i][1]) for i in range(30)]
+    rows += [(200 + i, " ".join(prose(9000 + i, 200))) for i in range(30)]
+    found = {r["doc_id"]: r["class_id"] for r in near_classes(make(rows)).collect()}
+    assert sum(found[100 + i] == found[i] == i for i in range(30)) >= 29
+    assert all(found[200 + i] == 200 + i for i in range(30))
+
+
 def test_odd_rows_of_classes(make):
     same = " ".join(prose(1, 60))
     rows = [(1, None), (2, ""), (9, " \n"), (3, same), (3, same), (8, same.upper()), (None, same), (4, "two words"), (5, "Two  words"), (6, "x " * 30_000), (None, "alone here")]
