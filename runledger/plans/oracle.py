@@ -557,4 +557,5 @@ expected AS ({_line_figures("fact")} UNION ALL {ORDER_FIGURES})
 {COMPARE}""",
 }
 ORACLE["cdc_stream"] = ORACLE["cdc_apply"]
+ORACLE["gold_incremental"] = ORACLE["gold_revenue"]
 ORACLE["parity_by_digest"] = ORACLE["parity_check_raw"]

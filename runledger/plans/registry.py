@@ -19,6 +19,7 @@ from ..streaming.cdc import cdc_stream as start_cdc_stream, read_current
 from ..streaming.watch import first_of_each, watch_verdicts as watch
 from .acceptance import accept_run, publish_and_read
 from .ending import RUNS, TASKS, end_dags as end_jointly, publish_history
+from .gold import apply_fact_changes, read_gold
 from .verify import failed_run_report as report_failed_runs, tree_failure_report, verify_dags as verify
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,6 +522,18 @@ def gold_revenue(spark, sf):
     return medallion.gold_revenue(fx.fact_dedup(spark, sf), *dims)
 
 
+@query
+def gold_incremental(spark, sf):
+    """Gold kept current from the raw lines as changes, in three batches that know no order."""
+    base = scratch_dir(spark, "gold")
+    dims = [read_table(spark, sf, t) for t in ("orders", "customer", "nation", "region")]
+    changes = fx.fact_change(spark, sf)
+    for i in range(3):
+        batch = changes.where(F.pmod(F.xxhash64(*fx.FACT_SEQ, "l_orderkey"), F.lit(3)) == i)
+        apply_fact_changes(spark, base, batch, dims, ["l_orderkey", "l_linenumber"], fx.FACT_SEQ, ("lines", i))
+    return read_gold(spark, base)
+
+
 @query
 def register_external(spark, sf):
     paths = {name: f"{sf.rstrip('/')}/{name}.parquet" for name in STAR_TABLES}

@@ -220,6 +220,17 @@ def cli_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What puts the versions of a line in order; the last of them is the line of ``fact_dedup``.
+FACT_SEQ = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def fact_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every raw line as a change of its order line."""
+    return read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", *FACT_SEQ, F.lit("u").alias("op"), "l_discount"
+    )
+
+
 def fact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line item per order line, all columns; readers prune what they do not use."""
     newest = [

@@ -167,6 +167,14 @@ def write_buckets(df: DataFrame, base: str, name: str, keys: Iterable[str], buck
     return Table(schema_text(df), parts, buckets, keys)
 
 
+def write_whole(df: DataFrame, base: str, name: str) -> Table:
+    """Write a small table as one part; not visible before a commit names it."""
+    folder = f"{name}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{base.rstrip('/')}/{folder}")
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{base.rstrip('/')}/{folder}").count()
+    return Table(schema_text(df), (Part(folder, rows),))
+
+
 def replaced(old: Table, new: Table, buckets: Iterable[int]) -> Table:
     """``old`` with the given buckets taken from ``new``; the folders of all others stay."""
     gone = set(buckets)

@@ -45,6 +45,32 @@ def _write_run(spark: SparkSession, df: DataFrame, sink: str) -> Part:
     return Part(folder, spark.read.schema(df.schema).parquet(f"{sink}/{folder}").count())
 
 
+def with_batch(
+    spark: SparkSession, seen: Version, changes: DataFrame, keys: Sequence[str], seq: Sequence[str]
+) -> Table:
+    """The table of ``seen`` with a batch of changes as its newest run, runs merged where they are due.
+
+    The merge joins no data; it groups the merged runs by key, over as many tasks as they
+    have files' worth of rows. Nothing of it is visible before a commit.
+    """
+    runs = [*seen.tables[TABLE].parts] if TABLE in seen.tables else []
+    runs.append(_write_run(spark, latest_changes(changes, keys, seq), seen.base))
+    start = due([r.rows for r in runs])
+    if start < len(runs):
+        merging = runs[start:]
+        parts = math.ceil(sum(r.rows for r in merging) / ROWS_PER_FILE) or 1
+        rows = spark.read.schema(changes.schema).parquet(*[f"{seen.base}/{r.folder}" for r in merging])
+        merged = latest_changes(rows.repartition(parts, *keys), keys, seq)
+        runs = [*runs[:start], _write_run(spark, merged, seen.base)]
+    runs = [r for r in runs if r.rows] or runs[-1:]
+    return Table(schema_text(changes), tuple(runs), None, tuple(keys))
+
+
+def is_repeated(seen: Version, mark: tuple[str, int] | None) -> bool:
+    """Whether a batch, by its writer's name and its number, is in ``seen`` already."""
+    return mark is not None and seen.marks.get(mark[0], -1) >= mark[1]
+
+
 def apply_changes(
     spark: SparkSession,
     sink: str,
@@ -57,24 +83,13 @@ def apply_changes(
     """Commit a batch of changes as the next version of the table at ``sink``.
 
     ``mark`` is the writer's name and the batch's number: a batch up to the last
-    committed one of that name changes nothing. The merge joins no data; it groups
-    the merged runs by key, over as many tasks as they have files' worth of rows.
+    committed one of that name changes nothing.
     """
-    sink = sink.rstrip("/")
     seen = open_version(spark, sink)
-    if mark and seen.marks.get(mark[0], -1) >= mark[1]:
+    if is_repeated(seen, mark):
         return seen
-    runs = [*seen.tables[TABLE].parts] if TABLE in seen.tables else []
-    runs.append(_write_run(spark, latest_changes(changes, keys, seq), sink))
-    start = due([r.rows for r in runs])
-    if start < len(runs):
-        merging = runs[start:]
-        parts = math.ceil(sum(r.rows for r in merging) / ROWS_PER_FILE) or 1
-        rows = spark.read.schema(changes.schema).parquet(*[f"{sink}/{r.folder}" for r in merging])
-        merged = latest_changes(rows.repartition(parts, *keys), keys, seq)
-        runs = [*runs[:start], _write_run(spark, merged, sink)]
-    runs = [r for r in runs if r.rows] or runs[-1:]
-    new = commit(spark, seen, {TABLE: Table(schema_text(changes), tuple(runs), None, tuple(keys))}, dict([mark] if mark else []))
+    table = with_batch(spark, seen, changes, keys, seq)
+    new = commit(spark, seen, {TABLE: table}, dict([mark] if mark else []))
     if new.number % keep == 0:
         expire(spark, sink, keep)
     return new
