@@ -1,6 +1,8 @@
 import hashlib
 import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -30,13 +32,43 @@ def test_held_out_accuracy_and_folds(spark):
     assert np.mean([a == b for a, b in unseen]) > 0.95
 
 
+def plain_statistics(text):
+    text = text or ""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x]
+    solid = sum(map(len, words))
+    count = lambda inside: sum(inside(c) for c in text)
+    share = lambda x, of: x / of if of else 0.0
+    return {
+        "words": len(words), "word_length": share(solid, len(words)),
+        "upper_share": share(count(lambda c: unicodedata.category(c) == "Lu"), solid),
+        "digit_share": share(count(lambda c: c in "0123456789"), solid),
+        "symbols_per_word": share(count(lambda c: c in "#*$%&<>\\^~={}[]"), len(words)),
+        "shouts_per_word": share(count(lambda c: c in "!?"), len(words)),
+        "stops_per_word": share(count(lambda c: c in ".,;:"), len(words)),
+        "bars_per_word": share(text.count("|"), len(words)),
+        "distinct_words": share(len({w.lower() for w in words}), len(words)),
+        "distinct_lines": share(len(set(lines)), len(lines)),
+        "line_length": share(len(words), len(lines)), "chars": len(text),
+    }
+
+
+def test_statistics_are_those_of_a_plain_reading(spark, make):
+    odd = ["", None, "É é ß", "a|b | c", "one\n\none\ntwo", "WOW!? 3 {x} = [y]; ok...", "x" * 5000, "a  b\tb\x0bB", "\U0001f600 q"]
+    rows = [(i, t) for i, t in enumerate(odd)]
+    rows += [(100 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts = dict(rows)
+    found = with_statistics(make(rows, clashes=False).select("doc_id", "text")).select("doc_id", "s.*").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        for name, value in plain_statistics(texts[r["doc_id"]]).items():
+            assert math.isclose(r[name], value, rel_tol=1e-12), (r["doc_id"], name)
+
+
 def test_compiled_rules_score_as_the_model_does(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     assert model.rules and all(0 < abs(w) for w in model.weights)
-    rows = with_statistics(docs.select("doc_id", "text")).select("doc_id", "s.*", model.column().alias("score")).where("1 = 1").toPandas() if False else (
-        with_statistics(docs.select("doc_id", "text")).select("doc_id", "s.*", "s", model.column().alias("score")).drop("s").toPandas()
-    )
+    rows = with_statistics(docs.select("doc_id", "text")).select("doc_id", "s.*", model.column().alias("score")).toPandas()
     plain = model.score({n: rows[n].to_numpy(float) for n in statistics()})
     assert np.allclose(plain, rows["score"], atol=1e-9)
 
