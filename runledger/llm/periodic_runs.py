@@ -18,7 +18,7 @@ after its first period; rows of one id are rows of their own; an empty table giv
 an empty result; extra columns are ignored.
 
 Recovery and size: texts are handled one by one without a shuffle. A text's words
-are kept as numbers, and a tree takes some 600 bytes per word of the longest stretch
+are kept as numbers, and a tree takes about 1 KB per word of the longest stretch
 without rare words, which is the whole of a text that repeats itself throughout.
 """
 
