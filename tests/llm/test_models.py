@@ -12,7 +12,7 @@ from llm.prose import prose
 from pyspark.sql import functions as F
 from runledger.llm.bit_mixer import BitMixer, grams, order_keys
 from runledger.llm.chat_format import conversation_figures, escape, format_conversations, joined, op8_chat_format, read_back, renderer, unescape
-from runledger.llm.lm_scoring import log_gamma_ratio, op7_lm_scores, text_scores, tokens
+from runledger.llm.lm_scoring import FEATURES, _SLICE_DDL, _cut, _gram_counts, learned_centres, learned_mixer, log_gamma_ratio, op7_lm_scores, text_scores, tokens
 from runledger.llm.multi_index import nearest_neighbours, op6_multi_index
 from runledger.llm.rule_ensemble import RuleModel, fit_rules, lasso_logistic, learn, op4_rule_ensemble, quality_scores, statistics, with_statistics
 from runledger.llm.templates import TemplateError, compile_template, fold, parse
@@ -219,6 +219,38 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert all(abs(one[i] - other[i]) < 1e-6 for i in one)
 
 
+def test_classes_learn_from_every_text(make):
+    # More texts than any sample held; every other pair of words stands in one text only.
+    texts = [" ".join(f"{'ab'[i % 2]}{j}" for j in range(6)) + f" only{i}" for i in range(7000)]
+    held = [i % 7 == 3 for i in range(len(texts))]
+    cut = lambda texts: make(list(enumerate(texts))).selectExpr("doc_id", "text", "doc_id % 7 = 3 AS held_out", "(doc_id + 0.5D) / 9000 AS draw").mapInArrow(_cut, _SLICE_DDL)
+    centres = learned_centres(cut([*texts, "", None]), 2)
+    points = np.zeros((len(texts), FEATURES))
+    for point, text in zip(points, texts):
+        np.add.at(point, [zlib.crc32(w) % FEATURES for w in tokens(text)], 1 / math.sqrt(7))
+    expected = np.array([points[[i for i in range(k, len(texts), 2) if not held[i]]].sum(0) for k in (0, 1)])
+    expected /= np.linalg.norm(expected, axis=1, keepdims=True)
+    assert np.allclose(centres[np.argsort(-(centres @ expected[0]))], expected, atol=1e-5)
+    assert learned_centres(cut(["", None])).shape == (1, FEATURES)
+
+
+def test_mixing_weights_learn_from_every_word(spark):
+    words = sorted({f"{w}{i % 97}".encode() for i, w in enumerate(prose(3, 60_000))} | {f"w{i}".encode() for i in range(32_000)})
+    assert len(words) > 32_000
+    key, _ = grams(words, np.zeros(len(words), int))
+    table = BitMixer(*np.unique(np.concatenate([order_keys(key[::50], k) for k in range(6)]), return_counts=True))
+    local = BitMixer(*np.unique(np.concatenate([order_keys(key[::50], k) for k in range(6)]), return_counts=True))
+    local.learn(words, np.zeros(len(words), int))
+    rows = spark.createDataFrame([(bytearray(w), 0, 1) for w in words], "word binary, word_style int, of_style long").repartition(5)
+    counts = rows.mapInArrow(_gram_counts, "gram long, n long, kinds long").groupBy("gram").agg(F.sum("kinds").alias("kinds"))
+    found = learned_mixer(spark.sparkContext.broadcast(table), counts)
+    assert np.allclose(found.weights, local.weights, atol=1e-6) and np.allclose(found.refined, local.refined, atol=1e-6)
+    few = BitMixer(*np.unique(np.concatenate([order_keys(key[::50], k) for k in range(6)]), return_counts=True))
+    few.learn(words[:2000], np.zeros(2000, int))
+    logs = [m.log_probability(words, np.zeros(len(words), int)).mean() for m in (found, few)]
+    assert logs[0] > logs[1] and not np.allclose(table.weights, found.weights)
+
+
 def test_odd_texts_are_scored(make):
     rows = [(1, None), (2, ""), (3, "a " * 30_000), (4, "x" * 50_000), (5, " ".join(prose(1, 50))), (5, " ".join(prose(1, 50))), (None, "The the THE")]
     found = text_scores(make(rows)).collect()
