@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType
 
 
@@ -17,15 +17,23 @@ def latest_changes(changes: DataFrame, keys: Sequence[str], seq: Sequence[str])
     the order they arrive in does not matter; :func:`repeated_changes` reports them.
     """
     rest = [c for c in changes.columns if c not in keys]
-    total = [*seq, *[c for c in rest if c not in seq and _ordered(changes.schema[c].dataType)]]
+    version = version_of(changes, keys, seq)
+    # Where the order takes in every column, the highest version is the change itself.
+    whole = all(c in seq or _ordered(changes.schema[c].dataType) for c in rest)
     return (
         changes.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(*total)).alias("__last"))
+        .agg((F.max(version) if whole else F.max_by(F.struct(*rest), version)).alias("__last"))
         .select(*keys, "__last.*")
         .select(*changes.columns)
     )
 
 
+def version_of(changes: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> Column:
+    """What puts the changes of one key in order."""
+    rest = [c for c in changes.columns if c not in keys and c not in seq]
+    return F.struct(*seq, *[c for c in rest if _ordered(changes.schema[c].dataType)])
+
+
 def _ordered(kind: DataType) -> bool:
     """Whether values can be compared; maps and variants cannot."""
     text = kind.simpleString()

@@ -39,7 +39,7 @@ def due(rows: Sequence[int]) -> int:
     return start
 
 
-def _write_run(spark: SparkSession, df: DataFrame, sink: str) -> Part:
+def write_run(spark: SparkSession, df: DataFrame, sink: str) -> Part:
     folder = f"{TABLE}/{uuid.uuid4().hex}"
     df.write.parquet(f"{sink}/{folder}")
     return Part(folder, spark.read.schema(df.schema).parquet(f"{sink}/{folder}").count())
@@ -48,20 +48,27 @@ def _write_run(spark: SparkSession, df: DataFrame, sink: str) -> Part:
 def with_batch(
     spark: SparkSession, seen: Version, changes: DataFrame, keys: Sequence[str], seq: Sequence[str]
 ) -> Table:
-    """The table of ``seen`` with a batch of changes as its newest run, runs merged where they are due.
+    """The table of ``seen`` with a batch of changes as its newest run, runs merged where they are due."""
+    return with_run(spark, seen, write_run(spark, latest_changes(changes, keys, seq), seen.base), changes, keys, seq)
+
+
+def with_run(
+    spark: SparkSession, seen: Version, run: Part, changes: DataFrame, keys: Sequence[str], seq: Sequence[str]
+) -> Table:
+    """The table of ``seen`` with a written run of one change per key, runs merged where they are due.
 
     The merge joins no data; it groups the merged runs by key, over as many tasks as they
     have files' worth of rows. Nothing of it is visible before a commit.
     """
     runs = [*seen.tables[TABLE].parts] if TABLE in seen.tables else []
-    runs.append(_write_run(spark, latest_changes(changes, keys, seq), seen.base))
+    runs.append(run)
     start = due([r.rows for r in runs])
     if start < len(runs):
         merging = runs[start:]
         parts = math.ceil(sum(r.rows for r in merging) / ROWS_PER_FILE) or 1
         rows = spark.read.schema(changes.schema).parquet(*[f"{seen.base}/{r.folder}" for r in merging])
         merged = latest_changes(rows.repartition(parts, *keys), keys, seq)
-        runs = [*runs[:start], _write_run(spark, merged, seen.base)]
+        runs = [*runs[:start], write_run(spark, merged, seen.base)]
     runs = [r for r in runs if r.rows] or runs[-1:]
     return Table(schema_text(changes), tuple(runs), None, tuple(keys))
 

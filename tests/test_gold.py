@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger.functions.money import line_revenue_cents
 from runledger.operators.cdc import cdc_apply
 from runledger.operators.medallion import gold_revenue
-from runledger.plans.gold import GOLD, ORPHANS, apply_fact_changes, read_gold
+from runledger.plans.gold import GOLD, ORPHANS, _placed, _touched, apply_fact_changes, read_gold
 from runledger.sources.versions import open_version
 
 SCHEMA = "l_orderkey int, l_linenumber int, seq int, op string, l_extendedprice double, l_discount double"
@@ -71,3 +71,18 @@ def test_an_orphan_whose_order_arrives_goes_to_its_nation(spark, tmp_path, dims)
     apply_fact_changes(spark, base, rest, late, KEYS, SEQ)
     assert by_name(read_gold(spark, base)) == {}
     assert read_gold(spark, str(tmp_path / "nowhere")).collect() == []
+
+
+def test_lines_are_shuffled_by_their_key_and_by_their_order_only(spark, dims):
+    held, run = (spark.createDataFrame(changes(seed, 50), SCHEMA) for seed in (1, 2))
+    orphans = spark.createDataFrame([(40, 0, 500), (41, 0, 200), (41, 0, 200)], "l_orderkey int, l_linenumber int, revenue_cents long")
+    lines = _touched(held, run, orphans, KEYS, SEQ)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _placed(lines, *dims)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(l_orderkey#") == 2 and plan.count("Exchange hashpartitioning(o_custkey#") == 1
+    # Orphans that the run does not touch come again, as often as they are there.
+    assert sorted(r.after.cents for r in lines.where("l_orderkey >= 40").collect()) == [200, 200, 500]
