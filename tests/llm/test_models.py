@@ -223,7 +223,7 @@ def test_classes_learn_from_every_text(make):
     # More texts than any sample held; every other pair of words stands in one text only.
     texts = [" ".join(f"{'ab'[i % 2]}{j}" for j in range(6)) + f" only{i}" for i in range(7000)]
     held = [i % 7 == 3 for i in range(len(texts))]
-    cut = lambda texts: make(list(enumerate(texts))).selectExpr("doc_id", "text", "doc_id % 7 = 3 AS held_out", "(doc_id + 0.5D) / 9000 AS draw").mapInArrow(_cut, _SLICE_DDL)
+    cut = lambda texts: make(list(enumerate(texts))).selectExpr("doc_id", "text", "doc_id % 7 = 3 AS held_out", "(doc_id + 0.5D) / 7002 AS draw").mapInArrow(_cut, _SLICE_DDL)
     centres = learned_centres(cut([*texts, "", None]), 2)
     points = np.zeros((len(texts), FEATURES))
     for point, text in zip(points, texts):
